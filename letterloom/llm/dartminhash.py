@@ -10,16 +10,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import U64, WORD_P, Hasher, mix, pieces, rows_of, utf8
+from .bytetext import U64, WORD_P, Hasher, mix, pieces, utf8
 from .common import drop_table, need, table
 
-#: Ranks below 2**LOW_RANK make the first slab of darts; each further slab doubles the rank.
-LOW_RANK = -8
+#: Nodes of a bucket that are compared with all others in a round, at most; it grows fourfold a round.
+MOST_LEADERS = 64
 
 
 def shingles(h: Hasher, data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct shingles of each text: row offsets, hash, weight (times it occurs); and a hash of
-    each text's sequence of words. A text of fewer words than ``size`` is one shingle."""
+    """The distinct shingles of all texts: row, hash, weight (times it occurs), in no order; and a
+    hash of each text's sequence of words. A text of fewer words than ``size`` is one shingle."""
     starts, ends, of = h.words(data, at)
     prefix = h.prefix(h.word_hashes(data, starts, ends), WORD_P)
     words = np.diff(of)
@@ -27,68 +27,60 @@ def shingles(h: Hasher, data: np.ndarray, at: np.ndarray, size: int) -> tuple[np
     row = np.repeat(np.arange(len(n)), n)
     first = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + of[:-1][row]
     value = h.spans(prefix, first, np.minimum(first + size, of[1:][row]), WORD_P)
-    order = np.lexsort((value, row))
-    row, value = row[order], value[order]
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
-    begin = np.flatnonzero(new)
-    weight = np.diff(np.append(begin, len(row)))
-    return np.searchsorted(row[begin], np.arange(len(n) + 1)), value[begin], weight, h.spans(prefix, of[:-1], of[1:], WORD_P)
-
-
-def dart_minhash(at: np.ndarray, element: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
-    """DartMinHash of weighted sets: a row of k names for each set (0 where a set has no element).
-
-    Darts fall on the plane of (element, weight, rank) as a Poisson process that hashes decide alone,
-    each on one of k coordinates. A dart hits a set if its weight is at most the element's; the
-    coordinate keeps the earliest (least rank) of the darts that hit, and two sets keep the same one
-    with probability equal to their weighted Jaccard similarity. Slabs of rank are thrown until every
-    coordinate of a set has a dart, so the work is about k log k darts a set, however large it is.
+    # equal (row, hash) are made neighbours by one key
+    key = value ^ mix(np.arange(len(n), dtype=U64))[row]
+    order = np.argsort(key)
+    key = key[order]
+    begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    weight = np.diff(np.append(begin, len(key)))
+    return row[order[begin]], value[order[begin]], weight, h.spans(prefix, of[:-1], of[1:], WORD_P)
+
+
+def uniform(h: np.ndarray) -> np.ndarray:
+    """In (0, 1]."""
+    return ((h >> U64(11)).astype(float) + 1) * 2.0**-53
+
+
+def dart_minhash(row: np.ndarray, element: np.ndarray, weight: np.ndarray, sets: int, k: int) -> np.ndarray:
+    """DartMinHash of weighted sets: k names for each set (0 where a set has no element).
+
+    Darts fall on the plane of weight and rank above each element as a Poisson process that hashes
+    alone decide, each on one of k coordinates. A dart hits a set if its weight is at most the element's; a
+    coordinate keeps the earliest (least rank) dart that hits, and two sets keep the same one with
+    probability equal to their weighted Jaccard similarity. Darts are thrown up to the rank at which about
+    k log k of them hit a set, and to twice that rank where a coordinate is still without one, so a
+    set costs its elements and about k log k darts.
     """
-    sets = len(at) - 1
-    out = np.zeros((sets, k), U64)
-    best = np.full(sets * k, np.inf)
-    name = np.zeros(sets * k, U64)
-    row = rows_of(at)
-    # a unit of weight is a tile; the last tile of an element may be a part
+    best, name = np.full(sets * k, np.inf), np.zeros(sets * k, U64)
+    total = np.bincount(row, weight, sets)
+    reach = k * (np.log(k) + 2.5) / np.maximum(total, 1e-300)
     tiles = np.ceil(weight).astype(np.int64)
-    row, element, full = np.repeat(row, tiles), np.repeat(element, tiles), np.repeat(weight.astype(float), tiles)
-    unit = np.arange(len(row)) - np.repeat(np.cumsum(tiles) - tiles, tiles)
-    seed = mix(element + mix(unit.astype(U64)))
-    left = np.diff(at) > 0
-    slab = 0
-    while left.any():
-        low, high = (0.0 if slab == 0 else 2.0 ** (LOW_RANK + slab - 1)), 2.0 ** (LOW_RANK + slab)
-        mine = left[row]
-        row, element, full, unit, seed = row[mine], element[mine], full[mine], unit[mine], seed[mine]
-        mean = high - low
-        h = mix(seed + U64(slab + 1))
-        # Poisson counts by inversion
-        terms = [np.exp(-mean)]
-        while len(terms) < mean + 12 * np.sqrt(mean) + 24:
-            terms.append(terms[-1] * mean / len(terms))
-        count = np.searchsorted(np.cumsum(terms), (h >> U64(11)).astype(float) * 2.0**-53, "right")
-        some = np.flatnonzero(count)
-        tile = np.repeat(some, count[some])
-        nth = np.arange(len(tile)) - np.repeat(np.cumsum(count[some]) - count[some], count[some])
-        dart = mix(h[tile] + mix(nth.astype(U64) + U64(7)))
-        where = unit[tile] + (mix(dart + U64(1)) >> U64(11)).astype(float) * 2.0**-53
-        hit = where <= full[tile]
-        tile, dart = tile[hit], dart[hit]
-        rank = low + mean * (mix(dart + U64(2)) >> U64(11)).astype(float) * 2.0**-53
-        cell = row[tile] * k + (mix(dart + U64(3)) % U64(k)).astype(np.int64)
-        order = np.lexsort((rank, cell))
-        cell, rank, dart = cell[order], rank[order], dart[order]
-        top = np.ones(len(cell), bool)
-        top[1:] = cell[1:] != cell[:-1]
-        cell, rank, dart = cell[top], rank[top], dart[top]
-        better = rank < best[cell]
-        best[cell[better]], name[cell[better]] = rank[better], dart[better]
-        # darts of later slabs are later: a coordinate that has one is done
-        left = left & np.isinf(best.reshape(sets, k)).any(axis=1)
-        slab += 1
-    out[:] = name.reshape(sets, k)
-    return out
+    partial = bool((tiles != weight).any())
+    # a unit of an element's weight is a tile
+    at, full = np.repeat(row, tiles), np.repeat(weight, tiles)
+    unit = np.arange(len(at)) - np.repeat(np.cumsum(tiles) - tiles, tiles)
+    seed = mix(np.repeat(element, tiles) + mix(unit.astype(U64)))
+    open_ = total > 0
+    while open_.any():
+        live = np.flatnonzero(open_[at])
+        rank, nth = np.zeros(len(live)), 0
+        while len(live):
+            nth += 1
+            dart = mix(seed[live] + U64(nth * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
+            rank = rank - np.log(uniform(dart))
+            near = rank <= reach[at[live]]
+            live, rank, dart = live[near], rank[near], dart[near]
+            hit, when, which = live, rank, dart
+            if partial:
+                under = unit[live] + uniform(mix(dart + U64(1))) <= full[live]
+                hit, when, which = live[under], rank[under], dart[under]
+            cell = at[hit] * k + (mix(which + U64(3)) % U64(k)).astype(np.int64)
+            np.minimum.at(best, cell, when)
+            first = when == best[cell]
+            name[cell[first]] = which[first]
+        open_ = open_ & np.isinf(best.reshape(sets, k)).any(axis=1)
+        reach = np.where(open_, reach * 2, reach)
+    return name.reshape(sets, k)
 
 
 def _sketch(size: int, bands: int, rows: int) -> Callable:
@@ -96,14 +88,14 @@ def _sketch(size: int, bands: int, rows: int) -> Callable:
         h = Hasher()
         for whole in batches:
             for batch in pieces(whole, "text"):
-                at, value, weight, node = shingles(h, *utf8(batch.column("text")), size)
-                sig = dart_minhash(at, value, weight, bands * rows).reshape(len(batch), bands, rows)
+                row, value, weight, node = shingles(h, *utf8(batch.column("text")), size)
+                sig = dart_minhash(row, value, weight, len(batch), bands * rows).reshape(len(batch), bands, rows)
                 key = np.zeros((len(batch), bands), U64) + np.arange(bands, dtype=U64)
                 for r in range(rows):
                     key = mix(key * U64(0x9FB21C651E98DF25) + sig[:, :, r])
-                some = np.diff(at) > 0
+                some = np.bincount(row, minlength=len(batch)) > 0
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * bands), pa.array(key.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(node.view(np.int64), mask=~some), lists], ["id", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(node.view(np.int64), mask=~some), pa.array(np.bincount(row, weight, len(batch)).astype(np.int64)), lists], ["id", "node", "weight", "bands"])
 
     return run
 
@@ -123,8 +115,11 @@ def _verify(size: int, least: float) -> Callable:
                 for batch in pieces(some, "text_b"):
                     sides = []
                     for c in ("text_a", "text_b"):
-                        at, value, weight, _ = shingles(h, *utf8(batch.column(c)), size)
-                        sides.append([(value[i:j], weight[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
+                        row, value, weight, _ = shingles(h, *utf8(batch.column(c)), size)
+                        order = np.lexsort((value, row))
+                        row, value, weight = row[order], value[order], weight[order]
+                        at = np.searchsorted(row, np.arange(len(batch) + 1)).tolist()
+                        sides.append([(value[i:j], weight[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)])
                     sim = pa.array([weighted_jaccard(x, y) for x, y in zip(*sides, strict=True)], pa.float64())
                     yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), sim], ["a", "b", "similarity"]).filter(pa.compute.greater_equal(sim, least))
 
@@ -146,7 +141,7 @@ def components(edges: DataFrame) -> DataFrame:
         now = nxt
         if not changed:
             drop_table(both)
-            return now.select("node", "comp")
+            return now
 
 
 def near_duplicates(
@@ -160,10 +155,10 @@ def near_duplicates(
     band; nodes with a common key meet in a bucket, and a pair at 0.8 meets in one of the 25 default
     bands with probability 0.99995.
 
-    A bucket's pairs are not all formed: in each round one node, then four nodes of every bucket are compared
-    exactly with the bucket's members outside their component, and leave it. A bucket is done when what is left in
-    it is one component. Every pair of a bucket is thus compared or already connected, and no bucket
-    is capped.
+    A bucket's pairs are not all formed: in each round one node (later up to MOST_LEADERS nodes) of a
+    bucket is compared exactly with the bucket's members outside its component, and leaves it. A
+    bucket is done when what is left in it is one component. Every pair of a bucket is thus compared,
+    already connected, or too unequal in weight to be similar; no bucket is capped.
 
     Returns for each row: id (named ``id_col``), class_id (least id of its class), class_size
     (rows), n_links (distinct texts verified as linked to this one), kept (true for one row a class:
@@ -174,41 +169,43 @@ def near_duplicates(
     need(docs, id_col, text_col, *(payload or []))
     kind = docs.schema[id_col].dataType.simpleString()
     text = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    sketch = table(text.mapInArrow(_sketch(shingle_words, bands, rows_per_band), f"id {kind}, node long, bands array<long>"), "sketch")
-    nodes = sketch.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
-    member = nodes.select("node", F.explode("bands").alias("bucket"))
+    sketch = table(text.mapInArrow(_sketch(shingle_words, bands, rows_per_band), f"id {kind}, node long, weight long, bands array<long>"), "sketch")
+    nodes = sketch.where("node IS NOT NULL").groupBy("node").agg(F.first("weight").alias("weight"), F.first("bands").alias("bands"))
+    member = nodes.select("node", "weight", F.explode("bands").alias("bucket"))
     shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    member = table(member.join(shared, "bucket"), "buckets")
+    member = table(member.join(shared, "bucket").select("bucket", "node", "weight", F.col("node").alias("comp"), F.lit(1).cast("long").alias("comp_size")), "buckets")
     wanted = member.select("node").distinct()
     # one text for each node that meets another
     found = sketch.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id")).join(wanted, "node")
     texts = text.mapInArrow(_named(shingle_words), f"id {kind}, node long, text string")
     texts = table(texts.join(found, [texts["node"] == found["node"], texts["id"].eqNullSafe(found["id"])]).select(texts["node"], texts["text"]).dropDuplicates(["node"]), "texts")
-    links, comp, first = [], None, True
+    links, comp, slots = [], None, 1
     while not member.isEmpty():
-        slots = F.lit(0) if first else F.pmod(F.xxhash64("node"), F.lit(4))
-        now = member.withColumn("slot", slots)
-        if comp is None:
-            now = now.withColumn("comp", F.col("node"))
-        else:
-            now = now.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        lead = now.groupBy("bucket", "slot").agg(F.min(F.struct(F.xxhash64("node", "bucket").alias("h"), "node", "comp")).alias("lead"))
-        lead = lead.select("bucket", F.col("lead.node").alias("lead"), F.col("lead.comp").alias("lead_comp"))
-        pairs = now.join(lead, "bucket").where("comp <> lead_comp").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+        # leaders come from the smallest components first: what is left over from a large one is soon done
+        slot = F.pmod(F.xxhash64("node"), F.lit(slots))
+        lead = member.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct("comp_size", F.xxhash64("node", "bucket").alias("h"), "node", "comp", "weight")).alias("lead"))
+        lead = lead.select("bucket", F.col("lead.node").alias("lead"), F.col("lead.comp").alias("lead_comp"), F.col("lead.weight").alias("lead_weight"))
+        pairs = member.join(lead, "bucket").where("comp <> lead_comp")
+        # the smaller total weight over the larger is as much as the similarity can be
+        pairs = pairs.where(F.least("weight", "lead_weight") >= F.greatest("weight", "lead_weight") * threshold)
+        pairs = pairs.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
         pairs = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         links.append(table(pairs.mapInArrow(_verify(shingle_words, threshold), "a long, b long, similarity double"), "verified"))
+        drop_table(comp)
         comp = components(reduce(DataFrame.union, links))
-        left = member.join(lead.select("bucket", F.col("lead").alias("node")), ["bucket", "node"], "left_anti")
-        left = left.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        comp_of = comp.select("node", "comp")
+        sizes = comp.groupBy("comp").agg(F.count(F.lit(1)).alias("comp_size"))
+        left = member.select("bucket", "node", "weight").join(lead.select("bucket", F.col("lead").alias("node")), ["bucket", "node"], "left_anti")
+        left = left.join(comp_of.join(sizes, "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node")).withColumn("comp_size", F.coalesce("comp_size", F.lit(1).cast("long")))
         open_ = left.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
-        nxt = table(left.join(open_, "bucket").select("bucket", "node"), "buckets")
+        nxt = table(left.join(open_, "bucket").select("bucket", "node", "weight", "comp", "comp_size"), "buckets")
         drop_table(member)
-        member, first = nxt, False
+        member, slots = nxt, min(slots * 4, MOST_LEADERS)
     if comp is None:
         none = nodes.limit(0)
         comp, edges = none.select("node", F.col("node").alias("comp")), none.select(F.col("node").alias("a"), F.col("node").alias("b"))
     else:
-        edges = reduce(DataFrame.union, links).select("a", "b").distinct()
+        comp, edges = comp.select("node", "comp"), reduce(DataFrame.union, links).select("a", "b").distinct()
     degree = edges.union(edges.select("b", "a")).groupBy("a").agg(F.count(F.lit(1)).alias("n_links")).withColumnRenamed("a", "node")
     base = sketch.select("id", "node")
     if payload:
