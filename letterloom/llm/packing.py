@@ -16,15 +16,17 @@ from .bytetext import Hasher, pieces, utf8
 from .common import need, table
 
 END_ID = 1
-#: Words whose ids a task remembers, at most.
-KNOWN_WORDS = 1 << 18
+#: Distinct runs of letters or marks whose ids a task remembers, about.
+KNOWN_WORDS = 1 << 20
 
 
 class WordTokens:
-    """Token ids of whole texts, word by word.
+    """Token ids of whole texts, unit by unit.
 
-    For tokenizers that drop white space and never join what it separates; each distinct word of a
-    chunk is tokenized once and a task remembers some.
+    For tokenizers that drop white space and split a word at least into its runs of letters and of
+    ASCII marks. Units are those runs, or a whole word where it holds what may be split in other ways
+    (digits, apostrophes, special tokens' marks, letters beyond Latin). Each distinct unit of a chunk
+    is tokenized once, all runs in one text, and a task remembers some.
     """
 
     def __init__(self, path: str) -> None:
@@ -34,32 +36,87 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.h = Hasher()
-        self.known: dict[int, np.ndarray] = {}
+        self.letter, self.odd = np.zeros(256, bool), np.zeros(256, bool)
+        self.letter[97:123] = self.letter[65:91] = self.letter[128:] = True
+        self.odd[:9] = self.odd[14:32] = self.odd[48:58] = self.odd[0xC6:] = True
+        self.odd[[0xC2, 127, *b"'<|"]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.key, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+
+    def units(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends, whether they are runs, and the rows' offsets."""
+        starts, ends, of = self.h.words(data, at)
+        odd = self.odd[data]
+        # multiplication and division signs and the dotted capital I
+        after = np.append(data[1:], 0)
+        odd |= (data == 0xC3) & ((after == 0x97) | (after == 0xB7)) | (data == 0xC4) & (after == 0xB0)
+        total = np.concatenate([[0], np.cumsum(odd)])
+        whole = total[ends] > total[starts]
+        edge = np.zeros(len(data) + 1, np.int8)
+        edge[starts[whole]] += 1
+        edge[ends[whole]] -= 1
+        solid = np.cumsum(edge[:-1], dtype=np.int8) > 0
+        letter, space = self.letter[data], self.h.space[data]
+        cut = np.zeros(len(data), bool)
+        cut[1:] = (letter[1:] != letter[:-1]) & ~space[1:] & ~space[:-1] & ~solid[1:]
+        cut[starts] = True
+        begin = np.flatnonzero(cut)
+        word = np.searchsorted(starts, begin, "right") - 1
+        stop = np.minimum(np.append(begin[1:], len(data)), ends[word])
+        return begin, stop, ~whole[word], np.searchsorted(begin, at)
+
+    def encode(self, runs: list[str], words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all runs, then of all words, and how many each has."""
+        ids, sizes = [], []
+        if runs:
+            got = np.array(self.tokenizer.encode(" ".join(runs), add_special_tokens=False).ids, np.uint32)
+            close = np.flatnonzero(self.closes[got])
+            if len(close) == len(runs):
+                ids, sizes = [got], [np.diff(np.append(-1, close))]
+            else:
+                words, runs = runs + words, []
+        if words:
+            each = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            ids.append(np.array([i for e in each for i in e], np.uint32))
+            sizes.append(np.array([len(e) for e in each]))
+        return np.concatenate(ids), np.concatenate(sizes)
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the texts' offsets in them."""
         data, at = utf8(texts)
-        starts, ends, of = self.h.words(data, at)
+        starts, ends, run, of = self.units(data, at)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
         value, first, inverse = np.unique(self.h.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        keys = value.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
-        if len(self.known) + len(new) > KNOWN_WORDS:
-            self.known.clear()
-            new = range(len(keys))
-        raw = data.tobytes()
-        words = [raw[starts[first[i]] : ends[first[i]]].decode() for i in new]
-        for i, e in zip(new, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.known[keys[i]] = np.array(e.ids, np.uint32)
-        per = [self.known[k] for k in keys]
-        size = np.array([len(x) for x in per])
-        flat, begin = np.concatenate(per), np.concatenate([[0], np.cumsum(size)])
-        n = size[inverse]
+        if len(self.key) > KNOWN_WORDS:
+            self.forget()
+        place = np.searchsorted(self.key, value)
+        known = self.key[np.minimum(place, len(self.key) - 1)] == value if len(self.key) else np.zeros(len(value), bool)
+        new = np.flatnonzero(~known)
+        if len(new):
+            new = np.concatenate([new[run[first[new]]], new[~run[first[new]]]])
+            raw = data.tobytes()
+            texts_ = [raw[i:j].decode() for i, j in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
+            n_runs = int(run[first[new]].sum())
+            ids, size = self.encode(texts_[:n_runs], texts_[n_runs:])
+            order = np.argsort(new)
+            where = place[new][order]
+            begin = np.cumsum(size) - size + len(self.flat)
+            self.key = np.insert(self.key, where, value[new][order])
+            self.begin, self.size = np.insert(self.begin, where, begin[order]), np.insert(self.size, where, size[order])
+            self.flat = np.concatenate([self.flat, ids])
+            place = np.searchsorted(self.key, value)
+        n = self.size[place][inverse]
         stop = np.concatenate([[0], np.cumsum(n)])
-        index = np.arange(stop[-1]) - np.repeat(stop[:-1] - begin[:-1][inverse], n)
-        return flat[index], stop[of]
+        index = np.arange(stop[-1]) - np.repeat(stop[:-1] - self.begin[place][inverse], n)
+        return self.flat[index], stop[of]
 
 
 def _tokenize(path: str, most: int, with_ids: bool) -> Callable:
