@@ -10,7 +10,7 @@ import pyarrow as pa
 U64 = np.uint64
 #: Odd multipliers of the polynomial hashes over bytes, words and symbols, and their inverses modulo 2**64.
 BYTE_P, WORD_P = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -47,7 +47,15 @@ def is_held_out(id_col: Column | str) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
+#: Rows of an Arrow batch: with whole texts in them, more would make a worker's memory.
+BATCH_ROWS = 1000
+
+
 def need(df: DataFrame, *names: str) -> None:
+    """Checks that the columns are there, and bounds the Arrow batches of the session."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(f"columns {missing} are missing; there are {df.columns}")

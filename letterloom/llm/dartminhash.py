@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bytetext import U64, WORD_P, Hasher, mix, pieces, utf8
 from .common import drop_table, need, table
 
-#: Nodes of a bucket that are compared with all others in a round, at most; it grows fourfold a round.
-MOST_LEADERS = 64
+#: Nodes of a bucket that meet as many others in one task, at most.
+BLOCK = 256
+#: Columns of the 0/1 matrices that are multiplied at once.
+COLUMNS = 4096
 
 
 def shingles(h: Hasher, data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -95,7 +96,9 @@ def _sketch(size: int, bands: int, rows: int) -> Callable:
                     key = mix(key * U64(0x9FB21C651E98DF25) + sig[:, :, r])
                 some = np.bincount(row, minlength=len(batch)) > 0
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * bands), pa.array(key.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(node.view(np.int64), mask=~some), pa.array(np.bincount(row, weight, len(batch)).astype(np.int64)), lists], ["id", "node", "weight", "bands"])
+                names = [n for n in batch.schema.names if n != "text"]
+                own = [pa.array(node.view(np.int64), mask=~some), pa.array(np.bincount(row, weight, len(batch)).astype(np.int64)), lists]
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *own], [*names, "node", "weight", "bands"])
 
     return run
 
@@ -126,6 +129,87 @@ def _verify(size: int, least: float) -> Callable:
     return run
 
 
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many elements each of ``a`` has in common with each of ``b`` (sorted distinct elements)."""
+    if len(a) * len(b) <= 32:
+        return np.array([[len(np.intersect1d(x, y, assume_unique=True)) for y in b] for x in a]).reshape(len(a), len(b))
+    flat_a, flat_b = np.concatenate(a), np.concatenate(b)
+    row_a, row_b = np.repeat(np.arange(len(a)), [len(x) for x in a]), np.repeat(np.arange(len(b)), [len(x) for x in b])
+    both = np.intersect1d(flat_a, flat_b)
+    out = np.zeros((len(a), len(b)), np.float32)
+    sides = []
+    for flat, row in ((flat_a, row_a), (flat_b, row_b)):
+        at = np.searchsorted(both, flat).clip(0, max(len(both) - 1, 0))
+        good = both[at] == flat if len(both) else np.zeros(len(flat), bool)
+        order = np.argsort(at[good], kind="stable")
+        sides.append((at[good][order], row[good][order]))
+    for low in range(0, len(both), COLUMNS):
+        matrices = []
+        for (at, row), n in zip(sides, (len(a), len(b)), strict=True):
+            i, j = np.searchsorted(at, [low, low + COLUMNS])
+            m = np.zeros((n, min(COLUMNS, len(both) - low)), np.float32)
+            m[row[i:j], at[i:j] - low] = 1
+            matrices.append(m)
+        out += matrices[0] @ matrices[1].T
+    return out
+
+
+def _meet(size: int, least: float) -> Callable:
+    """Links between the asking rows of each bucket and its member rows of other components."""
+
+    def run(group: pa.Table) -> pa.Table:
+        h, units = Hasher(), []
+        for whole in group.combine_chunks().to_batches():
+            for batch in pieces(whole, "text"):
+                row, value, weight, _ = shingles(h, *utf8(batch.column("text")), size)
+                nth = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
+                row, value = np.repeat(row, weight), mix(np.repeat(value, weight) + mix(nth.astype(U64)))
+                order = np.lexsort((value, row))
+                value, at = value[order], np.searchsorted(row[order], np.arange(len(batch) + 1))
+                units += [value[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+        bucket, node, comp, asks, answers = (group.column(c).to_numpy() for c in ("bucket", "node", "comp", "asks", "answers"))
+        total = np.array([len(u) for u in units])
+        found_a, found_b, comp_a, comp_b, found_s = [], [], [], [], []
+        order = np.argsort(bucket, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+            q, m = rows[asks[rows]], rows[answers[rows]]
+            if not len(q) or not len(m):
+                continue
+            both = overlaps([units[i] for i in q], [units[i] for i in m])
+            sim = both / np.maximum(total[q][:, None] + total[m][None, :] - both, 1)
+            i, j = np.nonzero((sim >= least) & (comp[q][:, None] != comp[m][None, :]))
+            found_a.append(np.minimum(node[q[i]], node[m[j]]))
+            found_b.append(np.maximum(node[q[i]], node[m[j]]))
+            comp_a.append(comp[q[i]])
+            comp_b.append(comp[m[j]])
+            found_s.append(sim[i, j].astype(float))
+        none = [np.zeros(0, np.int64)]
+        columns = {"a": found_a, "b": found_b, "comp_a": comp_a, "comp_b": comp_b}
+        return pa.table({**{k: np.concatenate(v or none) for k, v in columns.items()}, "similarity": np.concatenate(found_s or [np.zeros(0)])})
+
+    return run
+
+
+def _in_blocks(left: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
+    """Compares, in every bucket, the nodes outside its largest component with all its nodes of other
+    components. Rows are nodes: small buckets are dealt out whole, a large one in blocks of BLOCK asking
+    and BLOCK answering nodes. Pairs are formed inside a task only, and links leave it."""
+    mine = left.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k"))
+    stats = mine.groupBy("bucket").agg(F.sum("k").alias("n"), F.max(F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"))
+    stats = stats.where("comps > 1").select("bucket", "n", F.col("main.comp").alias("main"), (F.col("n") - F.col("main.k")).alias("asking"))
+    rows = left.select("bucket", "node", "comp").join(stats, "bucket").withColumn("asks", F.col("comp") != F.col("main"))
+    rows = table(rows.join(texts, "node"), "open")
+    small = F.col("n") <= BLOCK
+    bins = max(rows.where(small).count() // (4 * BLOCK), 1)
+    whole = rows.where(small).select(F.struct(F.pmod(F.xxhash64("bucket"), F.lit(bins)).alias("x"), F.lit(-1).cast("long").alias("y"), F.lit(-1).cast("long").alias("z")).alias("grp"), "bucket", "node", "comp", "asks", F.lit(True).alias("answers"), "text")
+    place = lambda n: F.pmod(F.xxhash64("node"), F.ceil(F.col(n) / BLOCK))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(n) / BLOCK) - 1))
+    ask = rows.where(~small & F.col("asks")).withColumn("y", place("asking")).withColumn("z", every("n"))
+    answer = rows.where(~small).withColumn("z", place("n")).withColumn("y", every("asking"))
+    large = [x.select(F.struct(F.col("bucket").alias("x"), "y", "z").alias("grp"), "bucket", "node", "comp", F.lit(a).alias("asks"), F.lit(not a).alias("answers"), "text") for x, a in ((ask, True), (answer, False))]
+    return whole.union(large[0]).union(large[1]).groupBy("grp").applyInArrow(_meet(size, least), "a long, b long, comp_a long, comp_b long, similarity double")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components (node, comp: the least node) of edges (a, b), by least labels of
     neighbours and pointer jumping: as many rounds as the logarithm of the longest path."""
@@ -155,113 +239,81 @@ def near_duplicates(
     band; nodes with a common key meet in a bucket, and a pair at 0.8 meets in one of the 25 default
     bands with probability 0.99995.
 
-    A bucket's pairs are not all formed: in each round one node (later up to MOST_LEADERS nodes) of a
-    bucket is compared exactly with the bucket's members outside its component, and leaves it. A
-    bucket is done when what is left in it is one component. Every pair of a bucket is thus compared,
-    already connected, or too unequal in weight to be similar; no bucket is capped.
+    First each bucket's members are compared with one of them, exactly, and links give components.
+    Then, in each bucket, the nodes outside its largest component are compared exactly with all its nodes of
+    other components, in blocks inside the tasks; pairs are never rows. So every two nodes of
+    a bucket are compared, already connected, or too unequal in weight to be similar; no bucket is capped.
 
     Returns for each row: id (named ``id_col``), class_id (least id of its class), class_size
-    (rows), n_links (distinct texts verified as linked to this one), kept (true for one row a class:
+    (rows), n_links (distinct texts that were
+    compared with this one and are linked to it), kept (true for one row a class:
     its least id) and a struct ``payload`` of the named columns (if any). Texts without a word, null
     ones too, are classes of their own. Null ids come first. Of rows that repeat the least id and
     its words one is kept. An empty table gives an empty result.
     """
     need(docs, id_col, text_col, *(payload or []))
     kind = docs.schema[id_col].dataType.simpleString()
-    text = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    sketch = table(text.mapInArrow(_sketch(shingle_words, bands, rows_per_band), f"id {kind}, node long, weight long, bands array<long>"), "sketch")
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    cols = [F.struct(*(F.col(f"`{c}`") for c in payload)).alias("payload")] if payload else []
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), *cols).withColumn("rid", F.monotonically_increasing_id())
+    schema = rows.drop("text").schema.add("node", "long").add("weight", "long").add("bands", T.ArrayType(T.LongType()))
+    sketch = table(rows.mapInArrow(_sketch(shingle_words, bands, rows_per_band), schema), "sketch")
     nodes = sketch.where("node IS NOT NULL").groupBy("node").agg(F.first("weight").alias("weight"), F.first("bands").alias("bands"))
     member = nodes.select("node", "weight", F.explode("bands").alias("bucket"))
     shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    member = table(member.join(shared, "bucket").select("bucket", "node", "weight", F.col("node").alias("comp"), F.lit(1).cast("long").alias("comp_size")), "buckets")
+    member = table(member.join(shared, "bucket").select("bucket", "node", "weight"), "buckets")
     wanted = member.select("node").distinct()
     # one text for each node that meets another
-    found = sketch.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id")).join(wanted, "node")
-    texts = text.mapInArrow(_named(shingle_words), f"id {kind}, node long, text string")
-    texts = table(texts.join(found, [texts["node"] == found["node"], texts["id"].eqNullSafe(found["id"])]).select(texts["node"], texts["text"]).dropDuplicates(["node"]), "texts")
-    links, comp, slots = [], None, 1
-    while not member.isEmpty():
-        # leaders come from the smallest components first: what is left over from a large one is soon done
-        slot = F.pmod(F.xxhash64("node"), F.lit(slots))
-        lead = member.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct("comp_size", F.xxhash64("node", "bucket").alias("h"), "node", "comp", "weight")).alias("lead"))
-        lead = lead.select("bucket", F.col("lead.node").alias("lead"), F.col("lead.comp").alias("lead_comp"), F.col("lead.weight").alias("lead_weight"))
-        pairs = member.join(lead, "bucket").where("comp <> lead_comp")
-        # the smaller total weight over the larger is as much as the similarity can be
-        pairs = pairs.where(F.least("weight", "lead_weight") >= F.greatest("weight", "lead_weight") * threshold)
-        pairs = pairs.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
-        pairs = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        links.append(table(pairs.mapInArrow(_verify(shingle_words, threshold), "a long, b long, similarity double"), "verified"))
-        drop_table(comp)
-        comp = components(reduce(DataFrame.union, links))
-        comp_of = comp.select("node", "comp")
-        sizes = comp.groupBy("comp").agg(F.count(F.lit(1)).alias("comp_size"))
-        left = member.select("bucket", "node", "weight").join(lead.select("bucket", F.col("lead").alias("node")), ["bucket", "node"], "left_anti")
-        left = left.join(comp_of.join(sizes, "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node")).withColumn("comp_size", F.coalesce("comp_size", F.lit(1).cast("long")))
-        open_ = left.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
-        nxt = table(left.join(open_, "bucket").select("bucket", "node", "weight", "comp", "comp_size"), "buckets")
-        drop_table(member)
-        member, slots = nxt, min(slots * 4, MOST_LEADERS)
-    if comp is None:
-        none = nodes.limit(0)
-        comp, edges = none.select("node", F.col("node").alias("comp")), none.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    if payload and text_col in payload:
+        named = sketch.where("node IS NOT NULL").select("id", "node", F.coalesce(F.col("payload")[text_col].cast("string"), F.lit("")).alias("text"))
     else:
-        comp, edges = comp.select("node", "comp"), reduce(DataFrame.union, links).select("a", "b").distinct()
+        named = rows.select("id", "text").mapInArrow(_named, f"id {kind}, node long, text string")
+    found = sketch.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id")).join(wanted, "node").select(F.col("node").alias("n"), F.col("id").alias("i"))
+    texts = table(named.join(found, (F.col("node") == F.col("n")) & F.col("id").eqNullSafe(F.col("i"))).select("node", "text").dropDuplicates(["node"]), "texts")
+    # round one: each bucket's members with one of them
+    lead = member.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", "bucket").alias("h"), "node", "weight")).alias("lead"))
+    pairs = member.join(lead.select("bucket", F.col("lead.node").alias("lead"), F.col("lead.weight").alias("lead_weight")), "bucket").where("node <> lead")
+    # the smaller total weight over the larger is as much as the similarity can be
+    pairs = pairs.where(F.least("weight", "lead_weight") >= F.greatest("weight", "lead_weight") * threshold)
+    pairs = pairs.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+    pairs = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    one = table(pairs.mapInArrow(_verify(shingle_words, threshold), "a long, b long, similarity double"), "verified")
+    comp = components(one).select("node", "comp")
+    # round two: what is still apart
+    left = member.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    two = table(_in_blocks(left, texts, shingle_words, threshold), "verified")
+    # its links join components; a node that had no link is a component of its own
+    joined = components(two.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")).distinct()).select("node", "comp")
+    alone = joined.select("node").join(comp, "node", "left_anti").select("node", F.col("node").alias("comp"))
+    wider = joined.select(F.col("node").alias("comp"), F.col("comp").alias("wider"))
+    comp = table(comp.union(alone).join(wider, "comp", "left").select("node", F.coalesce("wider", "comp").alias("comp")), "components")
+    edges = one.select("a", "b").union(two.select("a", "b")).distinct()
     degree = edges.union(edges.select("b", "a")).groupBy("a").agg(F.count(F.lit(1)).alias("n_links")).withColumnRenamed("a", "node")
-    base = sketch.select("id", "node")
-    if payload:
-        cols = F.struct(*(F.col(f"`{c}`") for c in payload)).alias("payload")
-        base = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), cols)
-        base = base.mapInArrow(_with_node(shingle_words), base.drop("text").schema.add("node", "long"))
-    rows = base.join(comp, "node", "left").join(degree, "node", "left").withColumn("class", F.coalesce("comp", "node"))
-    sizes = sketch.select("id", "node").join(comp, "node", "left").withColumn("class", F.coalesce("comp", "node"))
-    sizes = sizes.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("id", "node")).alias("least"), F.count(F.lit(1)).alias("class_size"))
-    rows = rows.withColumn("rid", F.monotonically_increasing_id()).join(sizes.where("class_size > 1"), "class", "left")
-    return _result(rows, id_col, bool(payload))
-
-
-def _result(rows: DataFrame, id_col: str, payload: bool) -> DataFrame:
-    """Marks one row of each class: the one with the least id and node; of repeated rows the first."""
+    seen = sketch.select("id", "node", "rid").join(comp, "node", "left").join(degree, "node", "left").withColumn("class", F.coalesce("comp", "node"))
+    seen = table(seen.drop("comp"), "near")
+    sizes = seen.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("id", "node", "rid")).alias("least"), F.count(F.lit(1)).alias("class_size"))
+    result = seen.join(sizes.where("class_size > 1"), "class", "left")
     alone = F.col("class_size").isNull()
-    cand = ~alone & F.struct("id", "node").eqNullSafe(F.struct(F.col("least.id").alias("id"), F.col("least.node").alias("node")))
-    rows = table(rows.withColumn("cand", F.coalesce(cand, F.lit(False))), "near")
-    one = rows.where("cand").groupBy("class").agg(F.min("rid").alias("keep_rid"))
-    rows = rows.join(one, "class", "left")
-    return rows.select(
+    result = result.select(
+        "rid",
         F.col("id").alias(id_col),
         F.when(alone, F.col("id")).otherwise(F.col("least.id")).alias("class_id"),
         F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"),
         F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
-        (alone | F.coalesce(F.col("rid") == F.col("keep_rid"), F.lit(False))).alias("kept"),
-        *(["payload"] if payload else []),
+        (alone | F.coalesce(F.col("rid") == F.col("least.rid"), F.lit(False))).alias("kept"),
     )
+    return (result.join(sketch.select("rid", "payload"), "rid") if payload else result).drop("rid")
 
 
-def _named(size: int) -> Callable:
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (id, node, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = Hasher()
-        for whole in batches:
-            for batch in pieces(whole, "text"):
-                data, at = utf8(batch.column("text"))
-                starts, ends, of = h.words(data, at)
-                node = h.spans(h.prefix(h.word_hashes(data, starts, ends), WORD_P), of[:-1], of[1:], WORD_P)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(node.view(np.int64), mask=np.diff(of) == 0), batch.column("text")], ["id", "node", "text"])
-
-    return run
-
-
-def _with_node(size: int) -> Callable:
-    named = _named(size)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in pieces(whole, "text"):
-                (x,) = named(iter([batch]))
-                names = [n for n in batch.schema.names if n != "text"]
-                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), x.column("node")], [*names, "node"])
-
-    return run
+    h = Hasher()
+    for whole in batches:
+        for batch in pieces(whole, "text"):
+            data, at = utf8(batch.column("text"))
+            starts, ends, of = h.words(data, at)
+            node = h.spans(h.prefix(h.word_hashes(data, starts, ends), WORD_P), of[:-1], of[1:], WORD_P)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(node.view(np.int64), mask=np.diff(of) == 0), batch.column("text")], ["id", "node", "text"])
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params: object) -> DataFrame:
