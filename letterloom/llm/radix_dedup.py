@@ -48,12 +48,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     extra = [F.struct(*(F.col(f"`{c}`") for c in payload)).alias("payload")] if payload else []
     head = F.translate(F.substring(F.col(f"`{text_col}`"), 1, FIRST_DIGIT), UPPER, LOWER).cast("binary")
     head = F.coalesce(F.substring(head, 1, FIRST_DIGIT), F.lit(b""))
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"), head.alias("digit"), *extra)
+    # a text that is in the payload is not sent twice
+    sent = bool(payload) and text_col in payload
+    text = F.col("payload")[text_col] if sent else F.col("text")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), head.alias("digit"), *extra, *([] if sent else [F.col(f"`{text_col}`").alias("text")]))
     sizes = rows.groupBy("digit").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     first = (
         rows.withColumn("rid", F.monotonically_increasing_id())
         .join(sizes, "digit", "left")
-        .select("id", "rid", *(["payload"] if payload else []), F.when(F.col("n") > 1, F.lit(0)).cast("long").alias("node"), F.col("digit"), F.coalesce(F.col("n") > 1, F.lit(False)).alias("open"), "text")
+        .select("id", "rid", *(["payload"] if payload else []), F.when(F.col("n") > 1, F.lit(0)).cast("long").alias("node"), F.col("digit"), F.coalesce(F.col("n") > 1, F.lit(False)).alias("open"), text.cast("binary").alias("text"))
     )
     schema = first.drop("text", "open").schema.add("text_sha256", "string").add("rest", "binary")
     first = table(first.mapInArrow(_hashed, schema), "radix")
