@@ -61,8 +61,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = first.drop("text", "open").schema.add("text_sha256", "string").add("rest", "binary")
     first = table(first.mapInArrow(_hashed, schema), "radix")
 
-    keep = [c for c in first.columns if c not in ("node", "digit", "rest")]
-    done = [first.where("node IS NULL").select(*keep, F.col("id").alias("keep_id"), F.col("rid").alias("keep_rid"), F.lit(1).cast("long").alias("group_size"))]
+    # the payload stays behind while groups are split
+    keep = ["id", "rid", "text_sha256"]
+    own = ["payload"] if payload else []
+    single = first.where("node IS NULL").select(*keep, *own)
+    done = [single.select(*keep, *own, F.col("id").alias("keep_id"), F.col("rid").alias("keep_rid"), F.lit(1).cast("long").alias("group_size"))]
     now, width = first.where("node IS NOT NULL"), FIRST_DIGIT
     while True:
         groups = now.groupBy("node", "digit").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("id", "rid")).alias("top"))
@@ -84,9 +87,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         now, width = nxt.where("node IS NOT NULL"), after
         if now.isEmpty():
             break
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
+    split = done[1]
+    for d in done[2:]:
+        split = split.unionByName(d)
+    if payload:
+        split = split.join(first.where("node IS NOT NULL").select("rid", "payload"), "rid")
+    out = done[0].unionByName(split)
     return out.select(
         F.col("id").alias(id_col), "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), "text_sha256", *(["payload"] if payload else [])
     )
