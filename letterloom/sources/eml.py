@@ -22,7 +22,7 @@ def stream_eml(spark: SparkSession, path: str, glob: str = "*.eml", files_per_tr
 
 def read_mbox(spark: SparkSession, path: str) -> DataFrame:
     """Messages of mbox files: path, ordinal, raw. A line that begins with "From " after an empty one (or first) begins a message."""
-    text = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), "value")
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
     pieces = F.split("value", r"(?:\A|(?<=\n\n)|(?<=\n\r\n))From [^\n]*\n")
     rows = text.select("path", F.posexplode(pieces).alias("ordinal", "m")).where("m <> ''")
     return rows.select("path", "ordinal", F.encode(F.regexp_replace("m", r"(?m)^>(>*From )", "$1"), "UTF-8").alias("raw"))
