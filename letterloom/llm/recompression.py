@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,8 +108,23 @@ def _windows(h: Hasher, batch: pa.RecordBatch, size: int) -> dict:
     return out
 
 
+def _settled(batch: pa.RecordBatch, row: np.ndarray, anchor: np.ndarray, seg: np.ndarray, start: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    """Rows to send. Of those with equal anchors and words in this chunk only the first need meet
+    others; the rest are surely not the first anywhere, and are sent wherever their hash falls."""
+    rank = pc.rank(batch.column("id"), null_placement="at_start", tiebreaker="dense").to_numpy()[row].astype(np.int64)
+    both = anchor ^ mix(seg)
+    order = np.lexsort((start, rank, both))
+    new = np.flatnonzero(np.append(True, both[order][1:] != both[order][:-1])) if len(order) else np.zeros(0, np.int64)
+    first = np.repeat(order[new], np.diff(np.append(new, len(order))))
+    sure = np.zeros(len(row), bool)
+    sure[order] = (rank[order] != rank[first]) | (start[order] != start[first])
+    anchor = np.where(sure, mix(seg + place.astype(U64) + mix(rank.astype(U64))), anchor)
+    columns = [pa.array(anchor.view(np.int64)), pa.array(seg.view(np.int64)), batch.column("id").take(pa.array(row)), pa.array(place), pa.array(sure)]
+    return pa.RecordBatch.from_arrays(columns, ["anchor", "seg", "id", "place", "sure"])
+
+
 def _segments(size: int) -> Callable:
-    """Rows (anchor, seg, id, at): runs of windows with one anchor, and the hash of all their words."""
+    """Rows (anchor, seg, id, place, sure): runs of windows with one anchor, and the hash of all their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = Hasher()
@@ -126,15 +142,13 @@ def _segments(size: int) -> Callable:
                 seg = h.spans(w["prefix"], first[a], first[b] + size, WORD_P) + mix(w["offset"][a].astype(U64))
                 text = batch.column("low").to_numpy()[row[a]]
                 place = (text << (START_BITS + COUNT_BITS)) | ((first[a] - w["of"][row[a]]) << COUNT_BITS) | n
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(w["anchor"][a].view(np.int64)), pa.array(seg.view(np.int64)), batch.column("id").take(pa.array(row[a])), pa.array(place)], ["anchor", "seg", "id", "place"]
-                )
+                yield _settled(batch, row[a], w["anchor"][a], seg, first[a] - w["of"][row[a]], place)
 
     return run
 
 
 def _unsettled(size: int) -> Callable:
-    """Rows (anchor, win, id, place) of the single windows in the segments that are named."""
+    """Rows (anchor, seg, id, place, sure) of the single windows in the segments that are named."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = Hasher()
@@ -157,7 +171,7 @@ def _unsettled(size: int) -> Callable:
                 first = of[:-1][row[k]] + begin
                 win = h.spans(prefix, first, first + size, WORD_P)
                 out = (text[k] << (START_BITS + COUNT_BITS)) | (begin << COUNT_BITS) | 1
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[k]), pa.array(win.view(np.int64)), batch.column("id").take(pa.array(row[k])), pa.array(out)], ["anchor", "seg", "id", "place"])
+                yield _settled(batch, row[k], anchor[k].astype(np.int64).view(U64), win, begin, out)
 
     return run
 
@@ -210,7 +224,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     its interior, so equal windows have equally named anchors; a window without interior (a long run
     of one word) is its own anchor. Round one settles whole segments (neighbouring windows with one
     anchor): of segments with equal anchors and words all but the first are removed. Where segments
-    share an anchor and differ, round two settles their single windows alike. Two windows count as
+    share an anchor and differ, round two settles their single windows alike. What a later one in
+    the same chunk of texts shows is settled there, so a common passage sends one row a chunk to its anchor. Two windows count as
     equal if both the anchor's name and the hash of all words agree, 64 bits each. Texts are sent
     once, to their row's place, and read there by all rounds; anchors are sent once.
 
@@ -227,14 +242,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.xxhash64(text).bitwiseAND((1 << TEXT_BITS) - 1).alias("low"))
     rows = rows.withColumn("key", F.xxhash64("id", "low")).repartition(parts, "key")
-    places = f"anchor long, seg long, id {kind}, place long"
+    places = f"anchor long, seg long, id {kind}, place long, sure boolean"
 
     def settle(found: DataFrame) -> DataFrame:
         """Whether a row has an equal one before it, and whether its anchor has other contents too."""
         start = F.shiftright("place", COUNT_BITS).bitwiseAND((1 << START_BITS) - 1)
         found = found.repartition(parts, "anchor").withColumn("by", F.struct("id", start.alias("start")))
         same, alike = Window.partitionBy("anchor", "seg"), Window.partitionBy("anchor")
-        found = found.withColumn("before", F.min("by").over(same) < F.col("by"))
+        found = found.withColumn("before", F.col("sure") | (F.min("by").over(same) < F.col("by")))
         found = found.withColumn("open", ~F.col("before") & (F.min("seg").over(alike) != F.max("seg").over(alike))).where("before OR open")
         return found.withColumn("key", F.xxhash64("id", F.shiftright("place", START_BITS + COUNT_BITS)))
 
