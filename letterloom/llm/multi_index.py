@@ -73,10 +73,11 @@ def traverse(first: np.ndarray, second: np.ndarray, counts: np.ndarray, want: in
 
 
 def inner_products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """(queries, entries) in double precision, added in order of the dimensions: the same for equal vectors wherever they stand."""
-    out = np.zeros((len(q), len(x)))
+    """Of pairs of rows, in double precision, added in order of the dimensions: the same for equal
+    vectors wherever they stand."""
+    out = np.zeros(len(q))
     for d in range(q.shape[1]):
-        out += q[:, d, None] * x[None, :, d]
+        out += q[:, d] * x[:, d]
     return out
 
 
@@ -150,28 +151,21 @@ def _rerank(top: int) -> Callable:
         entries = entries.sort_values(["cell", "id"], kind="stable")
         x, ids, cell = np.stack(entries.vec.to_numpy()), entries.id.to_numpy(), entries.cell.to_numpy()
         q, qid, qkey = np.stack(queries.vec.to_numpy()), queries.id.to_numpy(), queries.key.to_numpy()
-        per = np.array([len(c) for c in queries.cells])
-        want_cell, want_q = np.concatenate(queries.cells.to_numpy()), np.repeat(np.arange(len(q)), per)
-        order = np.argsort(want_cell, kind="stable")
-        want_cell, want_q = want_cell[order], want_q[order]
+        kinds, cell = np.unique(cell, return_inverse=True)
+        lengths = np.sqrt((q**2).sum(axis=1)) * np.sqrt((x**2).sum(axis=1)).max()
         out_q, out_v, out_s = [], [], []
-        kinds, at = np.unique(want_cell, return_index=True)
-        for c, lo, hi in zip(kinds, at, np.append(at[1:], len(want_cell)), strict=True):
-            i, j = np.searchsorted(cell, [c, c + 1])
-            for a in range(lo, hi, 256):
-                asking = want_q[a : min(a + 256, hi)]
-                score = inner_products(q[asking], x[i:j])
-                score[qid[asking][:, None] == ids[None, i:j]] = -np.inf
-                keep = min(top, j - i)
-                if not keep:
-                    continue
-                # entries of a cell are in order of ids, so a stable sort leaves ties to the smaller
-                best = np.argsort(-score, axis=1, kind="stable")[:, :keep]
-                value = np.take_along_axis(score, best, axis=1)
-                real = value > -np.inf
-                out_q.append(np.repeat(asking, keep)[real.ravel()])
-                out_v.append(ids[i:j][best][real])
-                out_s.append(value[real])
+        keep = min(top, len(x))
+        for a in range(0, len(q), 256):
+            asking = np.arange(a, min(a + 256, len(q)))
+            wanted = np.stack([np.isin(kinds, queries.cells.iloc[k], kind="sort") for k in asking])
+            # a quick product finds who may be among the best; the exact measure orders those
+            score = q[asking] @ x.T
+            score[~wanted[:, cell] | (qid[asking][:, None] == ids[None, :])] = -np.inf
+            least = np.partition(score, len(x) - keep, axis=1)[:, len(x) - keep]
+            row, entry = np.nonzero((score >= (least - 1e-12 * lengths[asking] - 1e-300)[:, None]) & (score > -np.inf))
+            out_q.append(asking[row])
+            out_v.append(ids[entry])
+            out_s.append(inner_products(q[asking[row]], x[entry]))
         if not out_q:
             return empty
         qs, vs, ss = np.concatenate(out_q), np.concatenate(out_v), np.concatenate(out_s)
@@ -185,7 +179,7 @@ def _rerank(top: int) -> Callable:
 
 
 def search(
-    vectors: DataFrame, queries: Column, id_col: str = "vec_id", vec_col: str = "embedding", top: int = 20, centroids: int = 64, sample_rows: int = 16_384, least: int = 4096, share: float = 0.15
+    vectors: DataFrame, queries: Column, id_col: str = "vec_id", vec_col: str = "embedding", top: int = 20, centroids: int = 64, sample_rows: int = 16_384, least: int = 4096, share: float = 0.45
 ) -> DataFrame:
     """The ``top`` vectors with the largest inner product for each row that ``queries`` selects.
 
