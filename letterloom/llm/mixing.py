@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, need, table
+from .common import WORD, drop_table, need, table
 
 EPS = 1e-9
 
@@ -38,6 +38,10 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, m
     return ranked.withColumn("target", F.least(by_weight, F.col("cap")))
 
 
+def _done(row: str, f: str) -> str:
+    return f"named_struct('rid', {row}.rid, 'copy', cast(round({f}) as int), 'size', {row}.size, 'id', {row}.id)"
+
+
 #: One pairing. The carried row i and the next row j move words between them until one of them is
 #: integral; the sum of fraction times size stays, and either way is taken with the probability that keeps each
 #: fraction's expectation.
@@ -50,15 +54,41 @@ transform(
       'j', if(x.u * (m.up + m.down) < m.down, x.f - m.up / m.r, x.f + m.down / m.r))),
   f -> CASE
     WHEN (f.i < {EPS} OR f.i > 1 - {EPS}) AND (f.j < {EPS} OR f.j > 1 - {EPS}) THEN
-      named_struct('carry', NONE, 'done', concat(acc.done, array(named_struct('rid', acc.carry.rid, 'copy', cast(round(f.i) as int)), named_struct('rid', x.rid, 'copy', cast(round(f.j) as int)))))
+      named_struct('carry', NONE, 'done', concat(acc.done, array({_done("acc.carry", "f.i")}, {_done("x", "f.j")})))
     WHEN f.i < {EPS} OR f.i > 1 - {EPS} THEN
-      named_struct('carry', named_struct('size', x.size, 'id', x.id, 'rid', x.rid, 'f', f.j, 'u', x.u), 'done', concat(acc.done, array(named_struct('rid', acc.carry.rid, 'copy', cast(round(f.i) as int)))))
+      named_struct('carry', named_struct('size', x.size, 'id', x.id, 'rid', x.rid, 'f', f.j, 'u', x.u), 'done', concat(acc.done, array({_done("acc.carry", "f.i")})))
     ELSE
-      named_struct('carry', named_struct('size', acc.carry.size, 'id', acc.carry.id, 'rid', acc.carry.rid, 'f', f.i, 'u', acc.carry.u), 'done', concat(acc.done, array(named_struct('rid', x.rid, 'copy', cast(round(f.j) as int)))))
+      named_struct('carry', named_struct('size', acc.carry.size, 'id', acc.carry.id, 'rid', acc.carry.rid, 'f', f.i, 'u', acc.carry.u), 'done', concat(acc.done, array({_done("x", "f.j")})))
   END)[0]
 """
 
 
+def _flips(rows: DataFrame, error: DataFrame, rounds: int = 4) -> DataFrame:
+    """(rid, flip): rounded rows that get one copy more or less, to make up for the ``error`` in words
+    (skey, e) that rounding a source's last row leaves.
+
+    Each round takes, in every source, the row that brings its words nearest to the target from the other
+    side or from this one; what the nearest of all rounds had is returned. Rows of one source, copy
+    and size are alike, so one of them stands for all and what is searched grows with the number of
+    sizes, not of documents. The state is one row a source."""
+    kinds = table(rows.groupBy("skey", "copy", "size").agg(F.min(F.struct("id", "rid")).alias("row")), "kinds")
+    flip = F.struct(F.col("best.row.rid").alias("rid"), (1 - 2 * F.col("best.copy")).alias("flip"))
+    none = F.array().cast("array<struct<rid: bigint, flip: int>>")
+    now = table(error.select("skey", "e", none.alias("used"), F.struct(F.abs("e").alias("far"), none.alias("used")).alias("nearest")), "flips")
+    for _ in range(rounds):
+        after = F.col("e") - F.signum("e") * F.col("size")
+        fits = (F.abs("e") >= 0.5) & (F.col("copy") == F.when(F.col("e") > 0, 1).otherwise(0)) & ~F.array_contains("used.rid", F.col("row.rid"))
+        best = kinds.join(now.select("skey", "e", "used"), "skey").where(fits)
+        best = best.groupBy("skey").agg(F.min(F.struct(F.abs(after).alias("far"), "size", "copy", "row", after.alias("e"))).alias("best"))
+        moved = F.col("best").isNotNull()
+        nxt = now.join(best, "skey", "left").select("skey", F.when(moved, F.col("best.e")).otherwise(F.col("e")).alias("e"), F.when(moved, F.array_append("used", flip)).otherwise(F.col("used")).alias("used"), "nearest")
+        nxt = table(nxt.withColumn("nearest", F.least("nearest", F.struct(F.abs("e").alias("far"), F.col("used").alias("used")))), "flips")
+        drop_table(now)
+        now = nxt
+    drop_table(kinds)
+    return now.select(F.explode("nearest.used").alias("o")).select("o.*")
+
+
 def mix_sources(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -79,9 +109,9 @@ def mix_sources(
     fractional part is rounded dependently: in groups of about ``fan_in`` rows of one source, longest first, rows
     are paired and words moved from one to the other at random until one is integral, so the source's sum of
     words never changes. Each group leaves at most one fractional row, and those are grouped
-    again, level by level, until a source has one; that one is rounded to the nearest. So a source's
-    words differ from its target by at most half of one document. Random numbers are hashes of id,
-    size, level and ``seed``: reruns agree.
+    again, level by level, until a source has one; that one is rounded to the nearest. That leaves an error
+    of at most half of one document, and up to four other rows, of the sizes nearest to it, get a copy
+    more or less to make it small (_flips). Random numbers are hashes of id, size, level and ``seed``: reruns agree.
 
     Returns for each row: id (named ``id_col``), size, source_size, target, copies, taken and a
     struct ``payload`` of the named columns (if any). Null texts have size 0; documents of size 0
@@ -105,6 +135,7 @@ def mix_sources(
     fraction = targets.select("skey", (want - base).alias("f"))
     level, done = 0, []
     item = f"struct<size: bigint, id: {kind}, rid: bigint, f: double, u: double>"
+    ended = f"struct<rid: bigint, copy: int, size: bigint, id: {kind}>"
     pair = _PAIR.replace("NONE", f"cast(null as {item})")
     now = live.join(fraction, "skey")
     while True:
@@ -118,25 +149,29 @@ def mix_sources(
         ran = grouped.select(
             "skey",
             F.expr(
-                f"""aggregate(items, named_struct('carry', cast(null as {item}), 'done', cast(array() as array<struct<rid: bigint, copy: int>>)),
+                f"""aggregate(items, named_struct('carry', cast(null as {item}), 'done', cast(array() as array<{ended}>)),
                 (acc, x) -> if(acc.carry IS NULL, named_struct('carry', x, 'done', acc.done), {pair}))"""
             ).alias("r"),
         )
-        ran = ran.select("skey", F.explode(F.concat(F.transform("r.done", lambda d: F.struct(d["rid"].alias("rid"), d["copy"].alias("copy"), F.lit(None).cast(item).alias("carry"))), F.expr("if(r.carry IS NULL, cast(array() as array<struct<rid: bigint, copy: int, carry: " + item + ">>), array(named_struct('rid', r.carry.rid, 'copy', cast(null as int), 'carry', r.carry)))"))).alias("o"))
-        ran = table(ran.select("skey", "o.*"), f"round{level}")
+        ended_rows = F.transform("r.done", lambda d: F.struct(d.alias("done"), F.lit(None).cast(item).alias("carry")))
+        carried = F.expr(f"if(r.carry IS NULL, cast(array() as array<struct<done: {ended}, carry: {item}>>), array(named_struct('done', cast(null as {ended}), 'carry', r.carry)))")
+        ran = table(ran.select("skey", F.explode(F.concat(ended_rows, carried)).alias("o")).select("skey", "o.*"), f"round{level}")
         left = ran.where("carry IS NOT NULL").groupBy("skey").agg(F.count(F.lit(1)).alias("n"))
         most_left = left.agg(F.max("n")).first()[0] or 0
+        done.append(ran.where("carry IS NULL").select("skey", "done.*"))
         if most_left <= 1:
-            done.append(ran.select("rid", F.coalesce("copy", F.round("carry.f").cast("int")).alias("copy")))
             break
-        done.append(ran.where("carry IS NULL").select("rid", "copy"))
         now = ran.where("carry IS NOT NULL").select("skey", "carry.id", "carry.size", "carry.rid", "carry.f").join(left, "skey")
         level += 1
-    extra = done[0]
-    for d in done[1:]:
-        extra = extra.union(d)
-    copies = F.when(F.col("size") > 0, base + F.coalesce("copy", F.lit(0))).otherwise(0).cast("long")
-    out = rows.join(targets, "skey").join(extra, "rid", "left").withColumn("copies", copies)
+    last, f = ran.where("carry IS NOT NULL"), F.col("carry.f")
+    rounded = last.select("skey", "carry.rid", F.round(f).cast("int").alias("copy"), "carry.size", "carry.id")
+    for d in done:
+        rounded = rounded.union(d)
+    flips = _flips(rounded, last.select("skey", ((F.round(f) - f) * F.col("carry.size")).alias("e")))
+    extra = rounded.select("rid", "copy")
+    added = F.coalesce("copy", F.lit(0)) + F.coalesce("flip", F.lit(0))
+    copies = F.when(F.col("size") > 0, base + added).otherwise(0).cast("long")
+    out = rows.join(targets, "skey").join(extra, "rid", "left").join(flips, "rid", "left").withColumn("copies", copies)
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), *(["payload"] if payload else []))
 
 
