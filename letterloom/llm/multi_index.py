@@ -92,14 +92,40 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, in
     return rows.where(F.size("vec") == (dims[0] if dims else 0)), dims[0] if dims else 0
 
 
-def fit_index(rows: DataFrame, dim: int, centroids: int = 64, sample_rows: int = 16_384) -> MultiIndex:
-    """Centroids from the ``sample_rows`` vectors whose id has the least hash."""
+def fit_index(rows: DataFrame, dim: int, centroids: int = 128, sample_rows: int = 16_384, top: int = 20, recall: float = 0.94) -> tuple[MultiIndex, float]:
+    """Centroids from the ``sample_rows`` vectors whose id has the least hash, and the share of all
+    entries that a query has to visit (share_to_visit on that sample)."""
     got = rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("vec").toArrow().column("vec").combine_chunks()
     got = got.chunk(0) if isinstance(got, pa.ChunkedArray) else got
     x = got.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
     cut = max(dim // 2, 1)
     second = x[:, cut:] if dim > 1 else np.zeros((len(x), 1))
-    return MultiIndex(k_means(x[:, :cut], centroids), k_means(second, centroids))
+    index = MultiIndex(k_means(x[:, :cut], centroids), k_means(second, centroids))
+    return index, share_to_visit(index, np.concatenate([x[:, :cut], second], axis=1), top, recall)
+
+
+def share_to_visit(index: MultiIndex, x: np.ndarray, top: int, recall: float, queries: int = 256) -> float:
+    """The share of entries in the lists up to the one that holds a true neighbour, by the traversal's
+    order: the ``recall`` quantile over the ``top`` nearest of the first ``queries`` vectors among all of
+    ``x``. Vectors that form clusters need a small share, vectors without any structure a large one. In a
+    sample the nearest are farther away than in the whole table, so the share is rather too large."""
+    if len(x) < 2:
+        return 1.0
+    q, cut = x[:queries], index.first.shape[1]
+    score = q @ x.T
+    score[np.arange(len(q)), np.arange(len(q))] = -np.inf
+    keep = min(top, len(x) - 1)
+    nearest = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
+    cells = index.cells(x)
+    counts = np.bincount(cells, minlength=len(index.first) * index.k)
+    needs = []
+    for r in range(len(q)):
+        near = ((index.first @ q[r, :cut])[:, None] + index.second @ q[r, cut:]).reshape(-1)
+        order = np.argsort(-near, kind="stable")
+        visited = np.empty(len(order))
+        visited[order] = np.cumsum(counts[order])
+        needs.append(visited[cells[nearest[r]]])
+    return float(np.quantile(np.concatenate(needs), recall)) / len(x)
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -179,15 +205,16 @@ def _rerank(top: int) -> Callable:
 
 
 def search(
-    vectors: DataFrame, queries: Column, id_col: str = "vec_id", vec_col: str = "embedding", top: int = 20, centroids: int = 64, sample_rows: int = 16_384, least: int = 4096, share: float = 0.45
+    vectors: DataFrame, queries: Column, id_col: str = "vec_id", vec_col: str = "embedding", top: int = 20, centroids: int = 128, sample_rows: int = 16_384, least: int = 1024, share: float | None = None, recall: float = 0.94
 ) -> DataFrame:
     """The ``top`` vectors with the largest inner product for each row that ``queries`` selects.
 
     Both halves of the vectors are quantised by k-means centroids of their own, fitted on at most
     ``sample_rows`` vectors; every vector is in the inverted list of its pair of centroids. A query
     goes through the pairs by increasing summed distance (the negative inner products of its halves
-    with the centroids) until their lists hold ``least`` plus ``share`` of all vectors, and these entries are
-    scored exactly. Lists are laid out in blocks of about BLOCK_ENTRIES, long lists cut into several
+    with the centroids) until their lists hold ``least`` plus ``share`` of all vectors, and these entries are scored exactly.
+    Without a given share it is the one by which ``recall`` of the true neighbours are met in the sample
+    (share_to_visit). Lists are laid out in blocks of about BLOCK_ENTRIES, long lists cut into several
     and blocks that many queries visit served by several tasks, so no task gets an unbounded group; queries
     meet entries in blocks and only their best ``top`` leave one.
 
@@ -203,7 +230,7 @@ def search(
     if not dim:
         return spark.createDataFrame([], none)
     rows = rows.dropDuplicates(["id", "vec"])
-    index = fit_index(rows, dim, centroids, sample_rows)
+    index, measured = fit_index(rows, dim, centroids, sample_rows, top, recall)
     entries = table(rows.mapInArrow(_assign(index, dim), "id long, vec array<double>, cell int"), "lists")
     # at most centroids squared numbers
     counts = np.zeros(len(index.first) * len(index.second), np.int64)
@@ -218,7 +245,8 @@ def search(
         filled += n
         if split[cell] > 1:
             now, filled = now + int(split[cell]), 0
-    want = int(min(least + share * counts.sum(), counts.sum()))
+    share = measured if share is None else share
+    want = int(min(least + np.ceil(share * counts.sum()), counts.sum()))
     places = spark.createDataFrame(pd.DataFrame({"cell": np.arange(len(counts), dtype=np.int32), "first": block, "split": split}))
     asked = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id")).where(queries).distinct()
     # centroids squared rows at most

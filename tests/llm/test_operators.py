@@ -242,6 +242,28 @@ def test_search_finds_what_brute_force_finds(spark):
     assert multi_index.search(table.limit(0), F.col("id") == 0).count() == 0
 
 
+def test_share_to_visit_follows_the_structure_of_the_vectors():
+    rng = np.random.default_rng(3)
+    loose = rng.normal(size=(4000, 16))
+    tight = rng.normal(size=(50, 16)).repeat(80, axis=0) + 0.05 * loose
+    tight = tight[rng.permutation(4000)] / np.linalg.norm(tight, axis=1).mean()
+    shares = []
+    for x in (tight, loose):
+        index = multi_index.MultiIndex(multi_index.k_means(x[:, :8], 32), multi_index.k_means(x[:, 8:], 32))
+        shares.append(multi_index.share_to_visit(index, x, 20, 0.94))
+    assert shares[0] < 0.15 < shares[1] < 1
+
+
+def test_mixing_comes_near_targets_of_few_documents(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, "w " * int(n), f"s{i % 5}") for i, n in enumerate(rng.lognormal(4, 1.2, size=300))]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), payload=["source"]).collect()
+    for s in {r.payload.source for r in got}:
+        mine = [r for r in got if r.payload.source == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 0.01 * mine[0].target
+        assert all(r.taken in (0, r.size, 2 * r.size) for r in mine)
+
+
 def test_pii(spark):
     texts = ["mail a.b@c.de, ip 10.0.0.255 1.2.3.256 card 4111 1111 1111 1111 or 4111111111111112", "call +1 (555) 123-4567 +12", "IBAN GB82 WEST 1234 5698 7654 32 é DE00123", "1 " * 3000 + "x@y.zz@q.rr", "", None]
     got = {r.doc_id: r for r in pii.pii_digest(spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], "doc_id long, text string, kind string")).collect()}
