@@ -251,7 +251,9 @@ def search(
     asked = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id")).where(queries).distinct()
     # centroids squared rows at most
     laid = entries.join(F.broadcast(places), "cell").withColumn("block", F.col("first") + F.pmod(F.xxhash64("id"), F.col("split"))).select("id", "vec", "cell", "block")
-    routes = entries.join(asked, "id", "left_semi").select("id", "vec").mapInArrow(_route(index, dim, counts, block, split, want), "id long, vec array<double>, block long, cells array<int>")
+    # a query's way through the pairs is work of its own, however few bytes its row has
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    routes = entries.join(asked, "id", "left_semi").select("id", "vec").repartition(parts, "id").mapInArrow(_route(index, dim, counts, block, split, want), "id long, vec array<double>, block long, cells array<int>")
     routes = table(routes.withColumn("key", F.xxhash64("vec")), "routes")
     served = routes.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).alias("tasks"))
     laid = laid.join(served, "block").withColumn("task", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)))
