@@ -117,6 +117,32 @@ def encoded_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", C.decode_words(text).alias("subject"))
 
 
+def _pieces(c: Column | str, n: int) -> Column:
+    """All of a text in pieces of n characters, the last one shorter."""
+    return F.regexp_extract_all(c, F.lit(f"(?s).{{1,{n}}}"), F.lit(0))
+
+
+def _q_word(c: Column) -> Column:
+    q = c
+    for a, b in (("=", "=3D"), ("_", "=5F"), ("?", "=3F"), (" ", "_")):
+        q = F.replace(q, F.lit(a), F.lit(b))
+    q = F.when(c.rlike(r"[^ -~]"), F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "=$1")).otherwise(q)
+    return _text("=?utf-8*en?q?", q, "?=")
+
+
+@query("SELECT doc_id, text AS subject FROM documents")
+def encoded_words_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts, line breaks too, as runs of B and of Q words in turn; B words are cut between bytes."""
+    d = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    b_words = lambda b: F.transform(F.sequence(F.lit(1), F.octet_length(b), F.lit(45)), lambda i: _text("=?UTF-8?B?", C.base64_text(F.substring(F.encode(b, "UTF-8"), i, F.lit(45))), "?="))
+    q_words = lambda b: F.transform(_pieces(b, 10), _q_word)
+    # words are decoded one by one where a replacement character shows, so then none may be cut within a character
+    runs = F.transform(_pieces("text", 200), lambda b, i: F.array_join(F.when((i % 2 == 0) & ~F.contains("text", F.lit("\ufffd")), b_words(b)).otherwise(q_words(b)), "\t"))
+    # one element: Spark doesn't find a Python function again whose argument holds nested lambdas, so that is a column of its own
+    words = d.select("doc_id", F.explode(F.array(F.array_join(runs, " "))).alias("words"))
+    return words.select("doc_id", C.decode_words("words").alias("subject"))
+
+
 @query(f"SELECT doc_id, {_BODY} AS body FROM documents WHERE lang IN ('de', 'fr', 'es') AND NOT regexp_matches(text, '[^\\x{{00}}-\\x{{FF}}]')")
 def body_charset(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _read(spark, sf_dir, "documents").where("lang IN ('de', 'fr', 'es')").where(~F.col("text").rlike(r"[^\x{00}-\x{FF}]"))
