@@ -104,6 +104,15 @@ def body_base64_padded_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.parse_messages(d.select("doc_id", raw)).select("doc_id", F.col("message.text").alias("body"))
 
 
+@query("SELECT doc_id, nullif(text, '') AS body FROM documents")
+def body_base64_padded_lines_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts of every document, each line of ten characters padded on its own."""
+    d = _read(spark, sf_dir, "documents")
+    lines = F.array_join(F.transform(_pieces("text", 10), lambda x: C.base64_text(F.encode(x, "UTF-8"))), "\r\n")
+    raw = _raw("Content-Type: text/plain; charset=utf-8\r\nContent-Transfer-Encoding: base64\r\n\r\n", lines, "\r\n")
+    return M.parse_messages(d.select("doc_id", raw)).select("doc_id", F.col("message.text").alias("body"))
+
+
 @query("SELECT doc_id, replace(substr(text, 1, 40), chr(10), ' ') AS subject FROM documents")
 def encoded_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _read(spark, sf_dir, "documents").select("doc_id", F.replace(F.substring("text", 1, 40), F.lit("\n"), F.lit(" ")).alias("s"))

@@ -29,3 +29,7 @@ def whole(spark, odd, name):
 
 def test_encoded_words_whole(spark, odd):
     whole(spark, odd, "encoded_words_whole")
+
+
+def test_body_base64_padded_lines_whole(spark, odd):
+    whole(spark, odd, "body_base64_padded_lines_whole")
