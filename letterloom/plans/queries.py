@@ -159,6 +159,17 @@ def body_charset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.parse_messages(d.select("doc_id", raw)).select("doc_id", F.col("message.text").alias("body"))
 
 
+@query(f"SELECT doc_id, {_BODY} AS body FROM documents")
+def body_charset_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, in ISO-8859-1 where that holds its text (C1 controls are other characters in mail), else in UTF-8."""
+    d = _read(spark, sf_dir, "documents")
+    latin = ~F.col("text").rlike(r"[^\x{00}-\x{7F}\x{A0}-\x{FF}]")
+    charset = F.when(latin, "iso-8859-1").otherwise("utf-8")
+    body = F.when(latin, F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
+    raw = F.concat(F.encode(_text("Content-Type: text/plain; charset=\"", charset, "\"\r\n\r\n"), "UTF-8"), body).alias("raw")
+    return M.parse_messages(d.select("doc_id", raw)).select("doc_id", F.col("message.text").alias("body"))
+
+
 @query("SELECT page_id, 'café-' || page_id || ' x.html' AS filename, 'text/html' AS mime FROM pages")
 def attachment_continued_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _read(spark, sf_dir, "pages")

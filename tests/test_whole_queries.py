@@ -33,3 +33,7 @@ def test_encoded_words_whole(spark, odd):
 
 def test_body_base64_padded_lines_whole(spark, odd):
     whole(spark, odd, "body_base64_padded_lines_whole")
+
+
+def test_body_charset_whole(spark, odd):
+    whole(spark, odd, "body_charset_whole")
