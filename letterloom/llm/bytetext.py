@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-#: Odd multipliers of the polynomial hashes over bytes, words and symbols, and their inverses modulo 2**64.
+#: Odd multipliers of the polynomial hashes over n-grams of bytes and runs of words, and their inverses modulo
+#: 2**64. Such a hash is blind to some long contents, so it serves short ones only, and names no equality that a result hangs on.
 BYTE_P, WORD_P = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 CHUNK_BYTES = 1 << 20
+#: Bytes of a word that are hashed eight at a time; a longer word is hashed on its own.
+LANES = 64
+#: Bytes of a digest that stands for a content.
+DIGEST_BYTES = 16
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -91,7 +97,52 @@ class Hasher:
         return starts, ends, np.searchsorted(starts, at)
 
     def word_hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return self.spans(self.prefix(self.of_byte[data], BYTE_P), starts, ends, BYTE_P)
+        """A hash of each word. Words of up to eight bytes and one length never have the same."""
+        size = ends - starts
+        out = mix(size.astype(U64))
+        lanes = np.ndarray((len(data) + 1,), "<u8", np.append(data, np.zeros(8, np.uint8)).tobytes(), strides=(1,))
+        long = size > LANES
+        live = np.flatnonzero(~long)
+        for at in range(0, LANES, 8):
+            live = live[size[live] > at]
+            if not len(live):
+                break
+            lane = lanes[starts[live] + at] & ~U64(0) >> (U64(8) * (8 - np.minimum(size[live] - at, 8)).astype(U64))
+            out[live] = mix(out[live] ^ lane)
+        for k in np.flatnonzero(long).tolist():
+            out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+        return out
+
+
+def digest(raw: bytes | memoryview) -> bytes:
+    """Contents with equal digests count as equal: no one can make two."""
+    return hashlib.blake2b(raw, digest_size=DIGEST_BYTES).digest()
+
+
+def equal_spans(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether a and b hold the same ``size`` bytes from these places on, for each pair of places."""
+    stop = np.cumsum(size)
+    step = np.arange(stop[-1] if len(stop) else 0) - np.repeat(stop - size, size)
+    differ = np.concatenate([[0], np.cumsum(a[np.repeat(a_at, size) + step] != b[np.repeat(b_at, size) + step])])
+    return differ[stop] == differ[stop - size]
+
+
+def joined_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, of: np.ndarray, keep: np.ndarray | None = None) -> tuple[bytes, list[int], np.ndarray]:
+    """The kept words (places in ``starts``; all by default) of all rows, those of a row joined by one
+    space: the bytes one after another, the rows' offsets in them, and the rows' offsets in ``keep``."""
+    keep = np.arange(len(starts)) if keep is None else keep
+    words_at = np.searchsorted(keep, of)
+    # each word but a row's last goes with the byte behind it, made a space
+    last = np.zeros(len(keep), bool)
+    last[words_at[1:][np.diff(words_at) > 0] - 1] = True
+    stop = ends[keep] + ~last
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[starts[keep]] += 1
+    np.add.at(inside, stop, -1)
+    spaced = data.copy()
+    spaced[ends[keep][~last]] = 32
+    raw = spaced[np.cumsum(inside[:-1], dtype=np.int8) > 0].tobytes()
+    return raw, np.concatenate([[0], np.cumsum(stop - starts[keep])])[words_at].tolist(), words_at
 
 
 def rows_of(at: np.ndarray) -> np.ndarray:

@@ -34,7 +34,9 @@ KINDS = (
     Kind("iban", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}", 0.9, ("iban", "bank", "account", "transfer")),
 )
 BASE = ("email", "ip", "card", "phone")
-NEAR = 40
+#: Characters before a match that are looked at, and the gaps and matches that surely hold as many.
+NEAR, PIECES = 40, 20
+SPAN = "struct<kind: string, start: bigint, end: bigint, score: double, text: string>"
 
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
@@ -64,25 +66,31 @@ def _confirmed(kind: str, m: str) -> str:
 
 
 def _spans(kind: Kind) -> Column:
-    """Confirmed matches as array of (kind, start, end, score, text). Matches and the pieces between
-    them are listed alike, so positions are running sums, in time linear in the text."""
+    """Confirmed matches as array of (kind, start, end, score, text).
+
+    Matches and the gaps before them are listed alike. Where each ends is a running sum, made by
+    adding what stands 1, 2, 4, ... places before: n log n steps for n matches, and no array grows
+    step by step. What stands before a match is taken from the last few gaps and matches."""
     p = kind.pattern.replace("'", "\\'")
     words = "|".join(kind.words)
-    out = "array<struct<kind: string, start: bigint, end: bigint, score: double, text: string>>"
-    near = f"if(lower(right(concat(acc.tail, x.gap), {NEAR})) rlike '{words}', {1 - kind.score:.2f} / 2, 0.0)"
+    before = f"right(concat(array_join(slice(z.tails, greatest(i - {PIECES}, 0) + 1, least(i, {PIECES})), ''), x.gap), {NEAR})"
+    near = f"if({before} rlike '(?i){words}', {1 - kind.score:.2f} / 2, 0.0)"
     found = f"""
       CASE WHEN text rlike r'{kind.hint}' THEN
-        aggregate(
-          arrays_zip(split(text, r'{p}', -1), regexp_extract_all(text, r'{p}', 0)),
-          named_struct('at', 0L, 'tail', cast('' as string), 'found', cast(array() as {out})),
-          (acc, y) -> transform(array(named_struct('gap', y.`0`, 'hit', y.`1`)), x -> named_struct(
-            'at', acc.at + cast(length(x.gap) + coalesce(length(x.hit), 0) as bigint),
-            'tail', right(concat(acc.tail, x.gap, coalesce(x.hit, '')), {NEAR}),
-            'found', if(x.hit IS NOT NULL AND {_confirmed(kind.name, "x.hit")},
-              concat(acc.found, array(named_struct('kind', '{kind.name}', 'start', acc.at + length(x.gap), 'end', acc.at + length(x.gap) + length(x.hit), 'score', cast({kind.score} + {near} as double), 'text', x.hit))),
-              acc.found)))[0],
-          acc -> acc.found)
-      ELSE cast(array() as {out}) END"""
+        transform(
+          transform(
+            transform(array(arrays_zip(split(text, r'{p}', -1), regexp_extract_all(text, r'{p}', 0))), l -> transform(l, y -> named_struct('gap', y.`0`, 'hit', y.`1`))),
+            l -> named_struct(
+              'pieces', l,
+              'tails', transform(l, x -> right(concat(x.gap, coalesce(x.hit, '')), {NEAR})),
+              'ends', aggregate(sequence(0, cast(ceil(log2(size(l))) as int)), transform(l, x -> cast(length(x.gap) + coalesce(length(x.hit), 0) as bigint)),
+                (a, k) -> transform(a, (x, i) -> x + coalesce(get(a, i - shiftleft(1, k)), 0L))))),
+          z -> filter(
+            transform(z.pieces, (x, i) -> if(x.hit IS NOT NULL AND {_confirmed(kind.name, "x.hit")},
+              named_struct('kind', '{kind.name}', 'start', z.ends[i] - length(x.hit), 'end', z.ends[i], 'score', cast({kind.score} + {near} as double), 'text', x.hit),
+              cast(null as {SPAN}))),
+            s -> s IS NOT NULL))[0]
+      ELSE cast(array() as array<{SPAN}>) END"""
     return F.expr(found)
 
 
