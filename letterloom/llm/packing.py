@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bytetext import Hasher, pieces, utf8
+from .bytetext import Hasher, equal_spans, pieces, utf8
 from .common import need, table
 
 END_ID = 1
@@ -26,7 +26,8 @@ class WordTokens:
     For tokenizers that drop white space and split a word at least into its runs of letters and of
     ASCII marks. Units are those runs, or a whole word where it holds what may be split in other ways
     (digits, apostrophes, special tokens' marks, letters beyond Latin). Each distinct unit of a chunk
-    is tokenized once, all runs in one text, and a task remembers some.
+    is tokenized once, all runs in one text, and a task remembers some. Units are found by their hash
+    and compared byte by byte; one that only has the hash of another is tokenized on its own.
     """
 
     def __init__(self, path: str) -> None:
@@ -49,6 +50,7 @@ class WordTokens:
     def forget(self) -> None:
         self.key, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
+        self.text, self.text_at, self.text_size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def units(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends, whether they are runs, and the rows' offsets."""
@@ -97,26 +99,38 @@ class WordTokens:
         value, first, inverse = np.unique(self.h.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
         if len(self.key) > KNOWN_WORDS:
             self.forget()
+        raw, long = data.tobytes(), ends - starts
+        text = lambda units: [raw[i:j].decode() for i, j in zip(starts[units].tolist(), ends[units].tolist(), strict=True)]
         place = np.searchsorted(self.key, value)
         known = self.key[np.minimum(place, len(self.key) - 1)] == value if len(self.key) else np.zeros(len(value), bool)
         new = np.flatnonzero(~known)
         if len(new):
             new = np.concatenate([new[run[first[new]]], new[~run[first[new]]]])
-            raw = data.tobytes()
-            texts_ = [raw[i:j].decode() for i, j in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
             n_runs = int(run[first[new]].sum())
-            ids, size = self.encode(texts_[:n_runs], texts_[n_runs:])
+            ids, size = self.encode(text(first[new[:n_runs]]), text(first[new[n_runs:]]))
             order = np.argsort(new)
             where = place[new][order]
             begin = np.cumsum(size) - size + len(self.flat)
+            at_text = np.cumsum(long[first[new]]) - long[first[new]] + len(self.text)
             self.key = np.insert(self.key, where, value[new][order])
             self.begin, self.size = np.insert(self.begin, where, begin[order]), np.insert(self.size, where, size[order])
+            self.text_at, self.text_size = np.insert(self.text_at, where, at_text[order]), np.insert(self.text_size, where, long[first[new]][order])
             self.flat = np.concatenate([self.flat, ids])
+            self.text = np.concatenate([self.text, np.frombuffer(b"".join(raw[starts[u] : ends[u]] for u in first[new].tolist()), np.uint8)])
             place = np.searchsorted(self.key, value)
-        n = self.size[place][inverse]
+        # the same bytes as what the hash stands for
+        of_unit = place[inverse]
+        same = long == self.text_size[of_unit]
+        same[same] = equal_spans(data, starts[same], self.text, self.text_at[of_unit[same]], long[same])
+        flat, begin, n = self.flat, self.begin[of_unit], self.size[of_unit]
+        apart = np.flatnonzero(~same)
+        if len(apart):
+            ids, size = self.encode([], text(apart))
+            begin[apart], n[apart] = np.cumsum(size) - size + len(flat), size
+            flat = np.concatenate([flat, ids])
         stop = np.concatenate([[0], np.cumsum(n)])
-        index = np.arange(stop[-1]) - np.repeat(stop[:-1] - self.begin[place][inverse], n)
-        return self.flat[index], stop[of]
+        index = np.arange(stop[-1]) - np.repeat(stop[:-1] - begin, n)
+        return flat[index], stop[of]
 
 
 def _tokenize(path: str, most: int, with_ids: bool) -> Callable:
@@ -162,8 +176,8 @@ def plan_packing(count: dict[int, int], most: int) -> list[tuple[int, int, int,
 
     Works on counts of lengths alone, of which there are at most ``most``. From the longest down, a
     piece's gap is looked up among the lengths, then the sums of two and of three lengths that are
-    still there; what fills it exactly is consumed as often as all of its counts allow. Pieces without
-    an exact filling go, longest first, to the open sequence with the least gap that holds them.
+    still there; the first combination whose counts allow it (the piece's own length included) is
+    consumed as often as they do. Pieces without an exact filling go, longest first, to the open sequence with the least gap that holds them.
     """
     left = {k: n for k, n in count.items() if n > 0}
     used: dict[int, int] = defaultdict(int)
@@ -180,52 +194,59 @@ def plan_packing(count: dict[int, int], most: int) -> list[tuple[int, int, int,
     def times_of(parts: list[int]) -> int:
         return min(left.get(p, 0) // parts.count(p) for p in set(parts))
 
-    have = np.zeros(most + 1, bool)
-    have[list(left)] = True
+    # the index of sums: which lengths are there; a bit set of them, and its mirror image, whose overlap
+    # at a shift are all pairs with that sum
+    here, mirror = 0, 0
+    for k in left:
+        here, mirror = here | 1 << k, mirror | 1 << (most - k)
 
     def gone(parts: list[int]) -> None:
+        nonlocal here, mirror
         for p in parts:
-            have[p] = left[p] > 0
-
-    def pair(total: int) -> list[int] | None:
-        """Two present lengths with that sum, the longer the better."""
-        if total < 2:
-            return None
-        both = np.flatnonzero(have[1:total] & have[1:total][::-1]) + 1
-        for a in both[: (len(both) + 1) // 2][::1].tolist():
-            if a * 2 != total or left[a] > 1:
-                return [total - a, a]
-        return None
-
-    def filling(gap: int, longest: int) -> list[int] | None:
-        if have[gap]:
+            if left[p] <= 0:
+                here, mirror = here & ~(1 << p), mirror & ~(1 << (most - p))
+
+    def bits(x: int) -> Iterator[int]:
+        """Set bits, the highest first."""
+        while x:
+            top = x.bit_length() - 1
+            yield top
+            x ^= 1 << top
+
+    def pairs(total: int) -> Iterator[list[int]]:
+        """Present lengths a >= b with that sum, the most unequal first."""
+        both = here & (mirror >> (most - total) if total <= most else 0)
+        for a in bits(both >> (total + 1) // 2 << (total + 1) // 2):
+            yield [a, total - a]
+
+    def filling(length: int, gap: int) -> list[int] | None:
+        """The first single, pair or triple that fills the gap with what is there besides ``length``."""
+        fits = lambda parts: times_of([length, *parts]) > 0
+        if here >> gap & 1 and fits([gap]):
             return [gap]
-        found = pair(gap)
-        if found:
-            return found
-        for a in (np.flatnonzero(have[1:gap])[::-1] + 1).tolist():
-            found = pair(gap - a)
-            if found:
-                return [a, *found]
+        for two in pairs(gap) if gap > 1 else ():
+            if fits(two):
+                return two
+        for a in bits(here & ((1 << gap) - 1)) if gap > 2 else ():
+            if 3 * a < gap:
+                break
+            for two in pairs(gap - a) if gap - a > 1 else ():
+                if two[0] <= a and fits([a, *two]):
+                    return [a, *two]
         return None
 
     rest: dict[int, int] = {}
     for length in sorted(left, reverse=True):
         while left[length] > 0:
-            if length == most:
-                parts = [length]
-            else:
-                have[length] = left[length] > 1
-                found = filling(most - length, length)
-                have[length] = True
-                parts = [length, *found] if found else []
-            n = times_of(parts) if parts else 0
-            if not n:
+            found = [] if length == most else filling(length, most - length)
+            if found is None:
                 # no exact filling for this length now: all of it waits for best fit
                 rest[length] = left[length]
                 left[length] = 0
-                have[length] = False
+                gone([length])
                 break
+            parts = [length, *found]
+            n = times_of(parts)
             take(parts, n, sequence, 0)
             gone(parts)
             sequence += n
