@@ -8,15 +8,19 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bytetext import U64, WORD_P, Hasher, mix, pieces, rows_of, utf8
+from .bytetext import U64, Hasher, digest, joined_words, mix, pieces, rows_of, utf8
 from .common import need
 
 PAIR_ROUNDS = 3
 #: How a segment is packed into a long: hash of its text, first word, number of windows.
 TEXT_BITS, START_BITS, COUNT_BITS = 20, 36, 7
+#: Rows that are settled among themselves before they are sent, about.
+SETTLE_ROWS = 1 << 20
+#: One in so many texts is looked at to find anchors that are too frequent for one task.
+HOT_SAMPLE = 64
 
 
 class Parse:
@@ -85,48 +89,96 @@ class Parse:
         return out
 
 
+class _Words:
+    """Words of a chunk of texts, and digests of runs of them (joined by one space)."""
+
+    def __init__(self, h: Hasher, batch: pa.RecordBatch) -> None:
+        self.data, at = utf8(batch.column("text"))
+        self.starts, self.ends, self.of = h.words(self.data, at)
+        self.raw, to, _ = joined_words(self.data, self.starts, self.ends, self.of)
+        row = rows_of(self.of)
+        size = self.ends - self.starts
+        # a row's words have one byte between them, rows have none
+        self.at = np.cumsum(size + 1) - (size + 1) - row_gaps(self.of)[row]
+        self.to = self.at + size
+
+    def digests(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Of the words first..last (inclusive): two numbers for each."""
+        view = memoryview(self.raw)
+        both = b"".join([digest(view[i:j]) for i, j in zip(self.at[first].tolist(), self.to[last].tolist(), strict=True)])
+        return np.frombuffer(both, np.int64).reshape(-1, 2)
+
+
+def row_gaps(of: np.ndarray) -> np.ndarray:
+    """How many rows with words lie before each row."""
+    some = np.diff(of) > 0
+    return np.cumsum(some) - some
+
+
 def _windows(h: Hasher, batch: pa.RecordBatch, size: int) -> dict:
     """Words, windows and each window's anchor of a chunk of texts."""
-    data, at = utf8(batch.column("text"))
-    starts, ends, of = h.words(data, at)
-    names = h.word_hashes(data, starts, ends)
-    counts = np.maximum(np.diff(of) - size + 1, 0)
+    w = _Words(h, batch)
+    counts = np.maximum(np.diff(w.of) - size + 1, 0)
     row = np.repeat(np.arange(len(counts)), counts)
     begin = np.concatenate([[0], np.cumsum(counts)])
-    first = np.arange(begin[-1]) - begin[:-1][row] + of[:-1][row]
-    prefix = h.prefix(names, WORD_P)
-    out = {"data": data, "starts": starts, "ends": ends, "of": of, "row": row, "first": first, "prefix": prefix}
+    first = np.arange(begin[-1]) - begin[:-1][row] + w.of[:-1][row]
+    out = {"words": w, "of": w.of, "row": row, "first": first}
     if len(first):
-        parse = Parse(h, names, of)
+        names = h.word_hashes(w.data, w.starts, w.ends)
+        parse = Parse(h, names, w.of)
         anchor = parse.longest(*parse.interior(first, first + size - 1))
         none = anchor < 0
         out["anchor_at"] = np.where(none, -1 - first, anchor)
         name = parse.sym[anchor]
-        name[none] = h.spans(prefix, first[none], first[none] + size, WORD_P)
+        # a window without interior has few different words, and goes where its words' names say
+        whole = np.zeros(none.sum(), U64)
+        for k in range(size if none.any() else 0):
+            whole = mix(whole ^ names[first[none] + k])
+        name[none] = whole
         out["anchor"] = name
-        out["offset"] = np.where(none, 0, parse.start[anchor] - first)
     return out
 
 
-def _settled(batch: pa.RecordBatch, row: np.ndarray, anchor: np.ndarray, seg: np.ndarray, start: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-    """Rows to send. Of those with equal anchors and words in this chunk only the first need meet
-    others; the rest are surely not the first anywhere, and are sent wherever their hash falls."""
-    rank = pc.rank(batch.column("id"), null_placement="at_start", tiebreaker="dense").to_numpy()[row].astype(np.int64)
-    both = anchor ^ mix(seg)
-    order = np.lexsort((start, rank, both))
-    new = np.flatnonzero(np.append(True, both[order][1:] != both[order][:-1])) if len(order) else np.zeros(0, np.int64)
+def _settled(batches: list[pa.RecordBatch], hot: np.ndarray) -> pa.RecordBatch:
+    """Rows to send. Of those with equal words only the first need meet others; the rest are surely
+    not the first anywhere, and are sent wherever their place falls. Rows of a hot anchor are dealt out by their words."""
+    t = pa.Table.from_batches(batches).combine_chunks()
+    rank = pc.rank(t.column("id"), null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)
+    anchor, seg, seg2, place = (t.column(c).to_numpy() for c in ("anchor", "seg", "seg2", "place"))
+    start = (place >> COUNT_BITS) & ((1 << START_BITS) - 1)
+    order = np.lexsort((start, rank, seg2, seg))
+    differs = (seg[order][1:] != seg[order][:-1]) | (seg2[order][1:] != seg2[order][:-1])
+    new = np.flatnonzero(np.append(True, differs))
     first = np.repeat(order[new], np.diff(np.append(new, len(order))))
-    sure = np.zeros(len(row), bool)
+    sure = np.zeros(len(order), bool)
     sure[order] = (rank[order] != rank[first]) | (start[order] != start[first])
-    anchor = np.where(sure, mix(seg + place.astype(U64) + mix(rank.astype(U64))), anchor)
-    columns = [pa.array(anchor.view(np.int64)), pa.array(seg.view(np.int64)), batch.column("id").take(pa.array(row)), pa.array(place), pa.array(sure)]
-    return pa.RecordBatch.from_arrays(columns, ["anchor", "seg", "id", "place", "sure"])
+    is_hot = np.isin(anchor, hot)
+    by = np.where(sure, place, np.where(is_hot, anchor ^ seg, anchor))
+    return pa.RecordBatch.from_arrays([pa.array(by), *(t.column(c).combine_chunks() for c in ("anchor", "seg", "seg2", "id", "place")), pa.array(sure), pa.array(is_hot)], ["by", "anchor", "seg", "seg2", "id", "place", "sure", "hot"])
 
 
-def _segments(size: int) -> Callable:
-    """Rows (anchor, seg, id, place, sure): runs of windows with one anchor, and the hash of all their words."""
+def _in_runs(found: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Settles about SETTLE_ROWS rows at a time."""
+    some: list[pa.RecordBatch] = []
+    for batch in found:
+        some.append(batch)
+        if sum(map(len, some)) >= SETTLE_ROWS:
+            yield _settled(some, hot)
+            some = []
+    if some:
+        yield _settled(some, hot)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _rows(batch: pa.RecordBatch, row: np.ndarray, anchor: np.ndarray, seg: np.ndarray, start: np.ndarray, n: np.ndarray | int) -> pa.RecordBatch:
+    place = (batch.column("low").to_numpy()[row] << (START_BITS + COUNT_BITS)) | (start << COUNT_BITS) | n
+    columns = [pa.array(anchor), pa.array(seg[:, 0]), pa.array(seg[:, 1]), batch.column("id").take(pa.array(row)), pa.array(place)]
+    return pa.RecordBatch.from_arrays(columns, ["anchor", "seg", "seg2", "id", "place"])
+
+
+def _segments(size: int, hot: np.ndarray) -> Callable:
+    """Rows of runs of windows with one anchor, and the digest of all their words."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = Hasher()
         for whole in batches:
             for batch in pieces(whole, "text"):
@@ -138,42 +190,46 @@ def _segments(size: int) -> Callable:
                 new[1:] = (w["anchor_at"][1:] != w["anchor_at"][:-1]) | (row[1:] != row[:-1])
                 a = np.flatnonzero(new)
                 b = np.append(a[1:], len(first)) - 1
-                n = b - a + 1
-                seg = h.spans(w["prefix"], first[a], first[b] + size, WORD_P) + mix(w["offset"][a].astype(U64))
-                text = batch.column("low").to_numpy()[row[a]]
-                place = (text << (START_BITS + COUNT_BITS)) | ((first[a] - w["of"][row[a]]) << COUNT_BITS) | n
-                yield _settled(batch, row[a], w["anchor"][a], seg, first[a] - w["of"][row[a]], place)
+                yield _rows(batch, row[a], w["anchor"][a].view(np.int64), w["words"].digests(first[a], first[b] + size - 1), first[a] - w["of"][row[a]], b - a + 1)
+
+    return lambda batches: _in_runs(found(batches), hot)
+
+
+def _anchors(size: int) -> Callable:
+    """The anchors of all segments."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h = Hasher()
+        for whole in batches:
+            for batch in pieces(whole, "text"):
+                w = _windows(h, batch, size)
+                if len(w["first"]):
+                    new = np.append(True, (w["anchor_at"][1:] != w["anchor_at"][:-1]) | (w["row"][1:] != w["row"][:-1]))
+                    yield pa.RecordBatch.from_arrays([pa.array(w["anchor"][new].view(np.int64))], ["anchor"])
 
     return run
 
 
 def _unsettled(size: int) -> Callable:
-    """Rows (anchor, seg, id, place, sure) of the single windows in the segments that are named."""
+    """Rows of the single windows in the segments that are named."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = Hasher()
         for whole in batches:
             for batch in pieces(whole, "text"):
-                data, at = utf8(batch.column("text"))
-                starts, ends, of = h.words(data, at)
-                prefix = h.prefix(h.word_hashes(data, starts, ends), WORD_P)
+                w = _Words(h, batch)
                 open_ = batch.column("open")
-                per = np.diff(open_.offsets.to_numpy())
-                items = open_.flatten()
-                anchor, place = (items.field(k).to_numpy(zero_copy_only=False) for k in ("anchor", "place"))
-                row = np.repeat(np.arange(len(batch)), per)
+                place, row = open_.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(batch)), np.diff(open_.offsets.to_numpy()))
                 own = place >> (START_BITS + COUNT_BITS) == batch.column("low").to_numpy()[row]
-                anchor, place, row = anchor[own], place[own], row[own]
-                n, start, text = place & ((1 << COUNT_BITS) - 1), (place >> COUNT_BITS) & ((1 << START_BITS) - 1), place >> (START_BITS + COUNT_BITS)
+                place, row = place[own], row[own]
+                n, start = place & ((1 << COUNT_BITS) - 1), (place >> COUNT_BITS) & ((1 << START_BITS) - 1)
                 k = np.repeat(np.arange(len(n)), n)
-                step = np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)
-                begin = start[k] + step
-                first = of[:-1][row[k]] + begin
-                win = h.spans(prefix, first, first + size, WORD_P)
-                out = (text[k] << (START_BITS + COUNT_BITS)) | (begin << COUNT_BITS) | 1
-                yield _settled(batch, row[k], anchor[k].astype(np.int64).view(U64), win, begin, out)
+                begin = start[k] + np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)
+                first = w.of[:-1][row[k]] + begin
+                win = w.digests(first, first + size - 1)
+                yield _rows(batch, row[k], win[:, 0], win, begin, 1)
 
-    return run
+    return lambda batches: _in_runs(found(batches), np.zeros(0, np.int64))
 
 
 def _kept(size: int, with_text: bool) -> Callable:
@@ -194,18 +250,7 @@ def _kept(size: int, with_text: bool) -> Callable:
                 np.add.at(edge, begin, 1)
                 np.add.at(edge, begin + (place & ((1 << COUNT_BITS) - 1)) - 1 + size, -1)
                 keep = np.flatnonzero(np.cumsum(edge)[:-1] <= 0)
-                # the kept words' bytes, each word but a text's last with the byte behind it, made a space
-                words_at = np.searchsorted(keep, of)
-                last = np.zeros(len(keep), bool)
-                last[words_at[1:][np.diff(words_at) > 0] - 1] = True
-                stop = ends[keep] + ~last
-                inside = np.zeros(len(data) + 1, np.int8)
-                inside[starts[keep]] += 1
-                np.add.at(inside, stop, -1)
-                spaced = data.copy()
-                spaced[ends[keep][~last]] = 32
-                raw = spaced[np.cumsum(inside[:-1], dtype=np.int8) > 0].tobytes()
-                to = np.concatenate([[0], np.cumsum(stop - starts[keep])])[words_at].tolist()
+                raw, to, words_at = joined_words(data, starts, ends, of, keep)
                 texts = [raw[i:j] for i, j in zip(to[:-1], to[1:], strict=True)]
                 cols = [batch.column("id"), pa.array(np.diff(of)), pa.array(np.diff(of) - np.diff(words_at)), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())]
                 names = ["id", "n_words", "n_removed", "kept_sha256"]
@@ -216,6 +261,16 @@ def _kept(size: int, with_text: bool) -> Callable:
     return run
 
 
+def _hot_anchors(rows: DataFrame, size: int, parts: int) -> np.ndarray:
+    """Anchors that have more segments than an even share of a task, judged by a sample of texts: at most ``parts``."""
+    some = rows.where(F.pmod("key", F.lit(HOT_SAMPLE)) == 0).select("text").mapInArrow(_anchors(size), "anchor long")
+    counts = some.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+    # no more rows than tasks by what is asked of them
+    share = counts.agg(F.sum("n").alias("all"))
+    hot = counts.join(F.broadcast(share), (F.col("n") * parts > F.col("all")) & (F.col("n") >= 8)).select("anchor").toArrow()
+    return hot.column("anchor").to_numpy()
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, with_text: bool = True) -> DataFrame:
     """Removes each word that lies in ``window`` consecutive words which also start earlier
     (in a smaller id, or in the same document at an earlier word).
@@ -223,11 +278,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Each text is parsed by recompression (class Parse). A window's anchor is the longest symbol in
     its interior, so equal windows have equally named anchors; a window without interior (a long run
     of one word) is its own anchor. Round one settles whole segments (neighbouring windows with one
-    anchor): of segments with equal anchors and words all but the first are removed. Where segments
+    anchor): of segments with equal words all but the first are removed. Where segments
     share an anchor and differ, round two settles their single windows alike. What a later one in
-    the same chunk of texts shows is settled there, so a common passage sends one row a chunk to its anchor. Two windows count as
-    equal if both the anchor's name and the hash of all words agree, 64 bits each. Texts are sent
-    once, to their row's place, and read there by all rounds; anchors are sent once.
+    the same run of texts shows is settled there, so a common passage sends one row a run to its anchor.
+    Names only bring together what may be equal: words count as equal by a 128-bit digest of their bytes.
+
+    Anchors that would bring more than a task's share of all segments together are found on one text in
+    HOT_SAMPLE. Their segments are dealt out by their words instead, and all windows of those that are
+    first go on to round two, which deals out windows by their words anyway. This changes the plan, not the result.
+    Texts are sent once, to their row's place, and read there by all rounds; anchors are sent once.
 
     Returns for each row: id (named ``id_col``), n_words, n_removed, kept_sha256 and, ``with_text``,
     kept_text (kept words joined by one space). Null texts have no words. A null id counts as smaller
@@ -241,24 +300,27 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.xxhash64(text).bitwiseAND((1 << TEXT_BITS) - 1).alias("low"))
-    rows = rows.withColumn("key", F.xxhash64("id", "low")).repartition(parts, "key")
-    places = f"anchor long, seg long, id {kind}, place long, sure boolean"
-
-    def settle(found: DataFrame) -> DataFrame:
-        """Whether a row has an equal one before it, and whether its anchor has other contents too."""
+    rows = rows.withColumn("key", F.xxhash64("id", "low"))
+    hot = _hot_anchors(rows, window, parts)
+    rows = rows.repartition(parts, "key")
+    places = f"by long, anchor long, seg long, seg2 long, id {kind}, place long, sure boolean, hot boolean"
+    key = F.xxhash64("id", F.shiftright("place", START_BITS + COUNT_BITS)).alias("key")
+
+    def earlier(found: DataFrame) -> tuple[DataFrame, Column]:
+        """Whether a row has an equal one before it."""
         start = F.shiftright("place", COUNT_BITS).bitwiseAND((1 << START_BITS) - 1)
-        found = found.repartition(parts, "anchor").withColumn("by", F.struct("id", start.alias("start")))
-        same, alike = Window.partitionBy("anchor", "seg"), Window.partitionBy("anchor")
-        found = found.withColumn("before", F.col("sure") | (F.min("by").over(same) < F.col("by")))
-        found = found.withColumn("open", ~F.col("before") & (F.min("seg").over(alike) != F.max("seg").over(alike))).where("before OR open")
-        return found.withColumn("key", F.xxhash64("id", F.shiftright("place", START_BITS + COUNT_BITS)))
-
-    one = settle(rows.mapInArrow(_segments(window), places))
-    one = one.groupBy("key").agg(
-        F.collect_list(F.when(F.col("before"), F.col("place"))).alias("gone"), F.collect_list(F.when(F.col("open"), F.struct("anchor", "place"))).alias("open")
-    )
+        at = F.struct("id", start.alias("start"))
+        return found.repartition(parts, "by"), F.col("sure") | (F.min(at).over(Window.partitionBy("by", "seg", "seg2")) < at)
+
+    one, before = earlier(rows.mapInArrow(_segments(window, hot), places))
+    # one that has none, and whose anchor has other words too
+    alike = Window.partitionBy("by")
+    other = F.col("hot") | (F.min("seg").over(alike) != F.max("seg").over(alike)) | (F.min("seg2").over(alike) != F.max("seg2").over(alike))
+    one = one.select("id", "place", before.alias("before"), other.alias("other")).where("before OR other")
+    one = one.groupBy(key).agg(F.collect_list(F.when(F.col("before"), F.col("place"))).alias("gone"), F.collect_list(F.when(~F.col("before"), F.col("place"))).alias("open"))
     again = rows.join(one.where(F.size("open") > 0).hint("shuffle_hash"), "key").select("id", "text", "low", "open")
-    two = settle(again.mapInArrow(_unsettled(window), places)).where("before").groupBy("key").agg(F.collect_list("place").alias("gone2"))
+    two, before = earlier(again.mapInArrow(_unsettled(window), places))
+    two = two.select("id", "place", before.alias("before")).where("before").groupBy(key).agg(F.collect_list("place").alias("gone2"))
     none = F.array().cast("array<bigint>")
     all_ = rows.join(one.hint("shuffle_hash"), "key", "left").join(two.hint("shuffle_hash"), "key", "left")
     all_ = all_.select("id", "text", "low", F.concat(F.coalesce("gone", none), F.coalesce("gone2", none)).alias("gone"))
