@@ -225,7 +225,7 @@ def test_search_finds_what_brute_force_finds(spark):
     x[100:400] = x[100]
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, x[7].tolist()), (None, x[0].tolist()), (5001, None), (5002, [0.0] * 16), (5003, [float("nan")] * 16), (5004, [1.0]), (5005, [None] + [1.0] * 15)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = multi_index.search(table, F.col("id") % 20 == 0, centroids=16, least=800, share=0.2).collect()
+    got = multi_index.search(table, F.col("id") % 20 == 0, centroids=16, share=0.45).collect()
     d, hits, n = x.astype(float), 0, 0
     for q in range(0, 3000, 20):
         score = np.zeros(3000)
