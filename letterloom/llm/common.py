@@ -13,11 +13,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """The folder that driver and executors share: what spark.checkpoint.dir names, else the warehouse; where
+    all run on one machine, a temporary folder will do."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = f"{tempfile.gettempdir()}/letterloom-shared"
-        spark.conf.set("spark.checkpoint.dir", named)
+        alone = spark.sparkContext.master.startswith("local")
+        named = f"{tempfile.gettempdir()}/letterloom-shared" if alone else spark.conf.get("spark.sql.warehouse.dir")
     return named.rstrip("/")
 
 
@@ -41,6 +42,24 @@ def drop_table(df: DataFrame | None) -> None:
         where.getFileSystem(conf).delete(where, True)
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, *keys: str, how: str = "inner") -> DataFrame:
+    """Rows (with a number ``rid`` of their own) with the columns of their group: one row for each value
+    of ``keys``, with its number of rows n.
+
+    Groups of more rows than an even share of a task are salted: there are no more of them than tasks, so
+    they are broadcast; their rows are dealt out, and the group's one row is repeated for each salt. Rows
+    without a key have no group and are dealt out too."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = max(rows.count() // parts, 1)
+    hot = groups.where(F.col("n") > share).groupBy(F.xxhash64(*keys).alias("short")).agg(F.max(F.ceil(F.col("n") / share)).alias("salts"))
+    # groups of one hash that are not hot only get more salts than they need
+    salted = lambda df: df.withColumn("short", F.xxhash64(*keys)).join(F.broadcast(hot), "short", "left").withColumn("salts", F.coalesce("salts", F.lit(1).cast("long"))).drop("short")
+    lone = F.greatest(*(F.col(k).isNull() for k in keys), F.lit(False))
+    rows = salted(rows).withColumn("salt", F.pmod(F.xxhash64("rid"), F.when(lone, F.lit(parts).cast("long")).otherwise(F.col("salts")))).drop("salts")
+    groups = salted(groups).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+    return rows.join(groups, [*keys, "salt"], how).drop("salt")
+
+
 def is_held_out(id_col: Column | str) -> Column:
     """crc32 of the id as text, modulo 4, is 2; a null id counts as empty text."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col

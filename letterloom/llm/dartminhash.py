@@ -9,18 +9,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bytetext import U64, WORD_P, Hasher, mix, pieces, utf8
-from .common import drop_table, need, table
+from .bytetext import U64, WORD_P, Hasher, digest, joined_words, mix, pieces, utf8
+from .common import drop_table, join_groups, need, table
 
-#: Nodes of a bucket that meet as many others in one task, at most.
-BLOCK = 256
+#: Shingles of a bucket's nodes that meet as many others in one task, about: some megabytes of text. A
+#: longer text is alone.
+BLOCK = 1 << 18
 #: Columns of the 0/1 matrices that are multiplied at once.
 COLUMNS = 4096
 
 
-def shingles(h: Hasher, data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct shingles of all texts: row, hash, weight (times it occurs), in no order; and a
-    hash of each text's sequence of words. A text of fewer words than ``size`` is one shingle."""
+def texts_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, of: np.ndarray) -> pa.Array:
+    """Of the words of each row, joined by one space."""
+    raw, at, _ = joined_words(data, starts, ends, of)
+    view = memoryview(raw)
+    return pa.array([digest(view[i:j]) if j > i else None for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())
+
+
+def shingles(h: Hasher, data: np.ndarray, at: np.ndarray, size: int, digests: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array | None]:
+    """The distinct shingles of all texts: row, hash, weight (times it occurs), in no order; and the
+    digest of each text's sequence of words, null without any. A text of fewer words than ``size`` is one shingle."""
     starts, ends, of = h.words(data, at)
     prefix = h.prefix(h.word_hashes(data, starts, ends), WORD_P)
     words = np.diff(of)
@@ -34,7 +42,7 @@ def shingles(h: Hasher, data: np.ndarray, at: np.ndarray, size: int) -> tuple[np
     key = key[order]
     begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
     weight = np.diff(np.append(begin, len(key)))
-    return row[order[begin]], value[order[begin]], weight, h.spans(prefix, of[:-1], of[1:], WORD_P)
+    return row[order[begin]], value[order[begin]], weight, texts_digests(data, starts, ends, of) if digests else None
 
 
 def uniform(h: np.ndarray) -> np.ndarray:
@@ -89,16 +97,15 @@ def _sketch(size: int, bands: int, rows: int) -> Callable:
         h = Hasher()
         for whole in batches:
             for batch in pieces(whole, "text"):
-                row, value, weight, node = shingles(h, *utf8(batch.column("text")), size)
+                row, value, weight, names = shingles(h, *utf8(batch.column("text")), size, digests=True)
                 sig = dart_minhash(row, value, weight, len(batch), bands * rows).reshape(len(batch), bands, rows)
                 key = np.zeros((len(batch), bands), U64) + np.arange(bands, dtype=U64)
                 for r in range(rows):
                     key = mix(key * U64(0x9FB21C651E98DF25) + sig[:, :, r])
-                some = np.bincount(row, minlength=len(batch)) > 0
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * bands), pa.array(key.reshape(-1).view(np.int64)))
-                names = [n for n in batch.schema.names if n != "text"]
-                own = [pa.array(node.view(np.int64), mask=~some), pa.array(np.bincount(row, weight, len(batch)).astype(np.int64)), lists]
-                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *own], [*names, "node", "weight", "bands"])
+                others = [n for n in batch.schema.names if n != "text"]
+                own = [names, pa.array(np.bincount(row, weight, len(batch)).astype(np.int64)), lists]
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in others), *own], [*others, "digest", "weight", "bands"])
 
     return run
 
@@ -192,15 +199,16 @@ def _meet(size: int, least: float) -> Callable:
 
 def _in_blocks(left: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
     """Compares, in every bucket, the nodes outside its largest component with all its nodes of other
-    components. Rows are nodes: small buckets are dealt out whole, a large one in blocks of BLOCK asking
-    and BLOCK answering nodes. Pairs are formed inside a task only, and links leave it."""
-    mine = left.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k"))
+    components. Rows are nodes: small buckets (up to BLOCK shingles in all) are dealt out whole, a large one in
+    blocks of about BLOCK shingles of asking and of answering nodes, so what a task holds is bounded in bytes.
+    Pairs are formed inside a task only, and links leave it."""
+    mine = left.groupBy("bucket", "comp").agg(F.sum("weight").alias("k"))
     stats = mine.groupBy("bucket").agg(F.sum("k").alias("n"), F.max(F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"))
     stats = stats.where("comps > 1").select("bucket", "n", F.col("main.comp").alias("main"), (F.col("n") - F.col("main.k")).alias("asking"))
-    rows = left.select("bucket", "node", "comp").join(stats, "bucket").withColumn("asks", F.col("comp") != F.col("main"))
+    rows = left.select("bucket", "node", "comp", "weight").join(stats, "bucket").withColumn("asks", F.col("comp") != F.col("main"))
     rows = table(rows.join(texts, "node"), "open")
     small = F.col("n") <= BLOCK
-    bins = max(rows.where(small).count() // (4 * BLOCK), 1)
+    bins = max((rows.where(small).agg(F.sum("weight")).first()[0] or 0) // BLOCK, 1)
     whole = rows.where(small).select(F.struct(F.pmod(F.xxhash64("bucket"), F.lit(bins)).alias("x"), F.lit(-1).cast("long").alias("y"), F.lit(-1).cast("long").alias("z")).alias("grp"), "bucket", "node", "comp", "asks", F.lit(True).alias("answers"), "text")
     place = lambda n: F.pmod(F.xxhash64("node"), F.ceil(F.col(n) / BLOCK))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(n) / BLOCK) - 1))
@@ -234,8 +242,8 @@ def near_duplicates(
     """Classes of documents that are linked by a similarity of ``threshold`` or more.
 
     Similarity is weighted Jaccard over runs of ``shingle_words`` words (unchanged, split at white
-    space), weighted by how often a text has them. Texts with the same words in the same order are
-    one node. Signatures of bands x rows_per_band coordinates (dart_minhash) give each node one key a
+    space), weighted by how often a text has them. Texts with the same words in the same order (by a
+    128-bit digest) are one node, which Spark gives a number. Signatures of bands x rows_per_band coordinates (dart_minhash) give each node one key a
     band; nodes with a common key meet in a bucket, and a pair at 0.8 meets in one of the 25 default
     bands with probability 0.99995.
 
@@ -245,10 +253,8 @@ def near_duplicates(
     a bucket are compared, already connected, or too unequal in weight to be similar; no bucket is capped.
 
     Returns for each row: id (named ``id_col``), class_id (least id of its class), class_size
-    (rows), n_links (distinct texts that were
-    compared with this one and are linked to it), kept (true for one row a class:
-    its least id) and a struct ``payload`` of the named columns (if any). Texts without a word, null
-    ones too, are classes of their own. Null ids come first. Of rows that repeat the least id and
+    (rows), kept (true for one row a class: its least id) and a struct ``payload`` of the named columns (if
+    any). Texts without a word, null ones too, are classes of their own. Null ids come first. Of rows that repeat the least id and
     its words one is kept. An empty table gives an empty result.
     """
     need(docs, id_col, text_col, *(payload or []))
@@ -256,20 +262,20 @@ def near_duplicates(
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     cols = [F.struct(*(F.col(f"`{c}`") for c in payload)).alias("payload")] if payload else []
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), *cols).withColumn("rid", F.monotonically_increasing_id())
-    schema = rows.drop("text").schema.add("node", "long").add("weight", "long").add("bands", T.ArrayType(T.LongType()))
+    schema = rows.drop("text").schema.add("digest", "binary").add("weight", "long").add("bands", T.ArrayType(T.LongType()))
     sketch = table(rows.mapInArrow(_sketch(shingle_words, bands, rows_per_band), schema), "sketch")
-    nodes = sketch.where("node IS NOT NULL").groupBy("node").agg(F.first("weight").alias("weight"), F.first("bands").alias("bands"))
+    nodes = sketch.where("digest IS NOT NULL").groupBy("digest").agg(F.first("weight").alias("weight"), F.first("bands").alias("bands"), F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    nodes = table(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     member = nodes.select("node", "weight", F.explode("bands").alias("bucket"))
     shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     member = table(member.join(shared, "bucket").select("bucket", "node", "weight"), "buckets")
-    wanted = member.select("node").distinct()
     # one text for each node that meets another
     if payload and text_col in payload:
-        named = sketch.where("node IS NOT NULL").select("id", "node", F.coalesce(F.col("payload")[text_col].cast("string"), F.lit("")).alias("text"))
+        named = sketch.where("digest IS NOT NULL").select("id", "digest", F.coalesce(F.col("payload")[text_col].cast("string"), F.lit("")).alias("text"))
     else:
-        named = rows.select("id", "text").mapInArrow(_named, f"id {kind}, node long, text string")
-    found = sketch.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id")).join(wanted, "node").select(F.col("node").alias("n"), F.col("id").alias("i"))
-    texts = table(named.join(found, (F.col("node") == F.col("n")) & F.col("id").eqNullSafe(F.col("i"))).select("node", "text").dropDuplicates(["node"]), "texts")
+        named = rows.select("id", "text").mapInArrow(_named, f"id {kind}, digest binary, text string")
+    found = nodes.join(member.select("node").distinct(), "node", "left_semi").select("node", F.col("digest").alias("d"), F.col("id").alias("i"))
+    texts = table(named.join(found, (F.col("digest") == F.col("d")) & F.col("id").eqNullSafe(F.col("i"))).select("node", "text").dropDuplicates(["node"]), "texts")
     # round one: each bucket's members with one of them
     lead = member.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", "bucket").alias("h"), "node", "weight")).alias("lead"))
     pairs = member.join(lead.select("bucket", F.col("lead.node").alias("lead"), F.col("lead.weight").alias("lead_weight")), "bucket").where("node <> lead")
@@ -287,33 +293,28 @@ def near_duplicates(
     alone = joined.select("node").join(comp, "node", "left_anti").select("node", F.col("node").alias("comp"))
     wider = joined.select(F.col("node").alias("comp"), F.col("comp").alias("wider"))
     comp = table(comp.union(alone).join(wider, "comp", "left").select("node", F.coalesce("wider", "comp").alias("comp")), "components")
-    edges = one.select("a", "b").union(two.select("a", "b")).distinct()
-    degree = edges.union(edges.select("b", "a")).groupBy("a").agg(F.count(F.lit(1)).alias("n_links")).withColumnRenamed("a", "node")
-    seen = sketch.select("id", "node", "rid").join(comp, "node", "left").join(degree, "node", "left").withColumn("class", F.coalesce("comp", "node"))
-    seen = table(seen.drop("comp"), "near")
-    sizes = seen.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("id", "node", "rid")).alias("least"), F.count(F.lit(1)).alias("class_size"))
-    result = seen.join(sizes.where("class_size > 1"), "class", "left")
+    named = table(nodes.select("digest", "node", "n").join(comp, "node", "left").select("digest", F.coalesce("comp", "node").alias("class"), "n"), "classes")
+    seen = table(join_groups(sketch.select("id", "digest", "rid"), named, "digest", how="left").drop("n"), "near")
+    sizes = seen.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("id", "digest", "rid")).alias("least"), F.count(F.lit(1)).alias("class_size"))
+    result = join_groups(seen, table(sizes.where("class_size > 1").withColumn("n", F.col("class_size")), "sizes"), "class", how="left")
     alone = F.col("class_size").isNull()
     result = result.select(
         "rid",
         F.col("id").alias(id_col),
         F.when(alone, F.col("id")).otherwise(F.col("least.id")).alias("class_id"),
         F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"),
-        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
         (alone | F.coalesce(F.col("rid") == F.col("least.rid"), F.lit(False))).alias("kept"),
     )
     return (result.join(sketch.select("rid", "payload"), "rid") if payload else result).drop("rid")
 
 
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, node, text)."""
+    """Rows (id, digest, text)."""
     h = Hasher()
     for whole in batches:
         for batch in pieces(whole, "text"):
             data, at = utf8(batch.column("text"))
-            starts, ends, of = h.words(data, at)
-            node = h.spans(h.prefix(h.word_hashes(data, starts, ends), WORD_P), of[:-1], of[1:], WORD_P)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(node.view(np.int64), mask=np.diff(of) == 0), batch.column("text")], ["id", "node", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), texts_digests(data, *h.words(data, at)), batch.column("text")], ["id", "digest", "text"])
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params: object) -> DataFrame:

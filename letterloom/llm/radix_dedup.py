@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, need, table
+from .common import drop_table, join_groups, need, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FIRST_DIGIT, GROWTH = 64, 4
@@ -27,21 +27,6 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), sha, rest], [*names, "text_sha256", "rest"])
 
 
-def _find_groups(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Rows with the columns of their group (one row for each value of ``keys``, with its number of rows n).
-
-    Groups of more rows than an even share of a task are salted: there are no more of them than tasks, so
-    they are broadcast; their rows are dealt out, and the group's one row is repeated for each salt."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    share = max(rows.count() // parts, 1)
-    hot = groups.where(F.col("n") > share).groupBy(F.xxhash64(*keys).alias("short")).agg(F.max(F.ceil(F.col("n") / share)).alias("salts"))
-    # groups of one hash that are not hot only get more salts than they need
-    salted = lambda df: df.withColumn("short", F.xxhash64(*keys)).join(F.broadcast(hot), "short", "left").withColumn("salts", F.coalesce("salts", F.lit(1).cast("long"))).drop("short")
-    rows = salted(rows).withColumn("salt", F.pmod(F.xxhash64("rid"), F.col("salts"))).drop("salts")
-    groups = salted(groups).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
-    return rows.join(groups, [*keys, "salt"], how).drop("salt")
-
-
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", payload: list[str] | None = None) -> DataFrame:
     """Groups rows whose texts are equal after lower-casing A-Z, and keeps the largest id of each.
 
@@ -70,7 +55,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), head.alias("digit"), *extra, *([] if sent else [F.col(f"`{text_col}`").alias("text")]))
     sizes = table(rows.groupBy("digit").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "heads")
     first = (
-        _find_groups(rows.withColumn("rid", F.monotonically_increasing_id()), sizes, ["digit"], "left")
+        join_groups(rows.withColumn("rid", F.monotonically_increasing_id()), sizes, "digit", how="left")
         .select("id", "rid", *(["payload"] if payload else []), F.when(F.col("n") > 1, F.lit(0)).cast("long").alias("node"), F.col("digit"), F.coalesce(F.col("n") > 1, F.lit(False)).alias("open"), text.cast("binary").alias("text"))
     )
     schema = first.drop("text", "open").schema.add("text_sha256", "string").add("rest", "binary")
@@ -85,7 +70,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     now, width = first.where("node IS NOT NULL"), FIRST_DIGIT
     while True:
         groups = table(now.groupBy("node", "digit").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("id", "rid")).alias("top")), f"groups{width}")
-        split = _find_groups(now, groups, ["node", "digit"])
+        split = join_groups(now, groups, "node", "digit")
         ended = (F.col("n") == 1) | (F.length("digit") < width)
         # the digit that is read next and what stays behind it
         after = width * GROWTH
