@@ -145,7 +145,8 @@ def score_quality(
     ``soft_weight`` of its own classifier's probability. Counts are summed by (host, path), those by host
     and those to the whole. A host's posterior mean is shrunk towards the whole, a path's towards
     its host, by as many pseudo-counts as the spread of the groups' rates calls for (method of
-    moments): sparse sites stay near their parent. The odds of the path's posterior times the
+    moments): sparse sites stay near their parent. A document's posteriors leave out what it gave itself, so
+    its evidence (or label) counts once. The odds of the path's posterior times the
     document's likelihood ratio give the score.
 
     Returns id (named ``id_col``), held_out, score (0 to 1), predicted (1: score at least
@@ -159,15 +160,19 @@ def score_quality(
     rows = table(rows.mapInArrow(_evidence(model), rows.drop("text").schema.add("evidence", "double")), "evidence")
     p_doc = 1 / (1 + F.exp(-(F.col("evidence") + F.lit(float(np.log(model.prior / (1 - model.prior)))))))
     weight = F.when(F.col("y").isNotNull(), 1.0).otherwise(soft_weight)
-    sites = rows.join(known, "id", "left").groupBy("host", "path").agg(F.sum(weight).alias("n"), F.sum(weight * F.coalesce("y", p_doc)).alias("k"))
+    rows = rows.join(known, "id", "left").withColumn("own_n", weight).withColumn("own_k", weight * F.coalesce("y", p_doc)).drop("y")
+    sites = rows.groupBy("host", "path").agg(F.sum("own_n").alias("n"), F.sum("own_k").alias("k"))
     sites = table(sites, "sites")
     whole = sites.agg(F.sum("n"), F.sum("k")).first()
     prior = ((whole[1] or 0.0) + 1) / ((whole[0] or 0.0) + 2)
     hosts = sites.groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     m_host, m_path = _strength(hosts, "k", prior), _strength(sites, "k", prior)
-    hosts = hosts.select("host", ((F.col("k") + m_host * prior) / (F.col("n") + m_host)).alias("host_posterior"))
-    sites = sites.join(hosts, "host").select("host", "path", "host_posterior", ((F.col("k") + m_path * F.col("host_posterior")) / (F.col("n") + m_path)).alias("path_posterior"))
+    sites = sites.withColumnsRenamed({"n": "path_n", "k": "path_k"}).join(hosts.withColumnsRenamed({"n": "host_n", "k": "host_k"}), "host")
+    # what a document itself gave its site says nothing new of it
+    others = lambda level, own: F.greatest(F.col(f"{level}_{own}") - F.col(f"own_{own}"), F.lit(0.0))
     out = rows.join(sites, ["host", "path"])
+    out = out.withColumn("host_posterior", (others("host", "k") + m_host * prior) / (others("host", "n") + m_host))
+    out = out.withColumn("path_posterior", (others("path", "k") + m_path * F.col("host_posterior")) / (others("path", "n") + m_path))
     odds = F.col("evidence") + F.log(F.col("path_posterior")) - F.log(1 - F.col("path_posterior"))
     out = out.withColumn("score", 1 / (1 + F.exp(-odds)))
     return out.select(
