@@ -56,10 +56,19 @@ def _marked(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     return out, at
 
 
-def _grams(h: Hasher, data: np.ndarray, at: np.ndarray, n: int, prefix: np.ndarray, where: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (of ``where``) at which an n-gram of one word starts, and its hash."""
+def _grams(h: Hasher, leads: np.ndarray, at: np.ndarray, n: int, prefix: np.ndarray, where: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Characters (of ``where``) at which an n-gram of one word starts, and its hash. ``leads`` has the first byte of
+    each character and the end, ``at`` the words' offsets in characters."""
     ok = where[where + n <= at[row[where] + 1]]
-    return ok, h.spans(prefix, ok, ok + n, BYTE_P)
+    return ok, h.spans(prefix, leads[ok], leads[ok + n], BYTE_P)
+
+
+def _characters(h: Hasher, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the marked words: first bytes of their characters, the words' offsets in characters, prefix hashes and each character's word."""
+    marked, at = _marked(data, starts, ends)
+    leads = np.flatnonzero((marked & 0xC0) != 0x80)
+    of = np.searchsorted(leads, at)
+    return np.append(leads, len(marked)), of, h.prefix(h.of_byte[marked], BYTE_P), rows_of(of)
 
 
 def _count(longest: int, languages: tuple[str, ...]) -> Callable:
@@ -79,10 +88,9 @@ def _count(longest: int, languages: tuple[str, ...]) -> Callable:
                 first, inverse = _distinct(value + mix(of_lang.astype(U64)))
                 times = np.bincount(inverse)
                 found = [(0, value[first], of_lang[first], times)]
-                marked, at = _marked(data, starts[first], ends[first])
-                prefix, row = h.prefix(h.of_byte[marked], BYTE_P), rows_of(at)
+                leads, at, prefix, row = _characters(h, data, starts[first], ends[first])
                 for n in range(1, longest + 1):
-                    ok, gram = _grams(h, marked, at, n, prefix, np.arange(len(marked)), row)
+                    ok, gram = _grams(h, leads, at, n, prefix, np.arange(len(row)), row)
                     g_lang = of_lang[first][row[ok]]
                     a, b = _distinct(gram + mix(g_lang.astype(U64)))
                     found.append((n, gram[a], g_lang[a], np.bincount(b, times[row[ok]]).astype(np.int64)))
@@ -93,24 +101,17 @@ def _count(longest: int, languages: tuple[str, ...]) -> Callable:
 
 
 def fit_languages(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 20_000, longest: int = 5, least: int = 3, most_words: int = 100_000, most_grams: int = 40_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 20_000, longest: int = 5
 ) -> LanguageModel:
-    """Learns from text and language of at most about ``sample_rows`` rows that are not held out.
-
-    Kept are the ``most_words`` most frequent words and, of each size up to ``longest`` bytes, the
-    ``most_grams`` most frequent n-grams, all seen at least ``least`` times (single bytes always).
-    """
+    """Learns from text and language of at most about ``sample_rows`` rows that are not held out, and of about
+    500 rows of each language at least. All words and all n-grams of up to ``longest`` characters of these rows are kept."""
     need(docs, id_col, text_col, lang_col)
     sample = table(labelled_sample(docs.withColumn("__y", F.col(f"`{lang_col}`").cast("string")), None, id_col, text_col, "__y", sample_rows).where("text IS NOT NULL"), "labelled")
     languages = tuple(r[0] for r in sample.select("y").distinct().orderBy("y").collect())
     counts = sample.mapInArrow(_count(longest, languages), "size int, value long, lang int, n long").groupBy("size", "value", "lang").agg(F.sum("n").alias("n"))
     counts = table(counts, "counts")
-    total = counts.groupBy("size", "value").agg(F.sum("n").alias("total")).where((F.col("total") >= least) | (F.col("size") == 1))
-    kept = None
-    for size in range(longest + 1):
-        one = total.where(F.col("size") == size).orderBy(F.desc("total"), "value").limit(most_words if size == 0 else most_grams)
-        kept = one if kept is None else kept.union(one)
-    got = counts.join(kept.drop("total"), ["size", "value"]).select("size", "value", "lang", "n").toArrow()
+    # bounded by the sample: about 20,000 rows and 500 for each language
+    got = counts.toArrow()
     sums = {(r[0], r[1]): r[2] for r in counts.groupBy("size", "lang").agg(F.sum("n")).collect()}
     drop_table(sample)
     drop_table(counts)
@@ -138,17 +139,16 @@ def _predict(model: LanguageModel) -> Callable:
 
     def backoff(h: Hasher, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Mean log frequencies of each word over its positions, each by the longest n-gram known there."""
-        marked, at = _marked(data, starts, ends)
-        prefix, row = h.prefix(h.of_byte[marked], BYTE_P), rows_of(at)
-        left, out, hits = np.arange(len(marked)), np.zeros((len(starts), len(languages))), np.zeros(len(starts))
+        leads, at, prefix, row = _characters(h, data, starts, ends)
+        left, out, hits = np.arange(len(row)), np.zeros((len(starts), len(languages))), np.zeros(len(starts))
         for n, key, logs in gram:
-            ok, value = _grams(h, marked, at, n, prefix, left, row)
+            ok, value = _grams(h, leads, at, n, prefix, left, row)
             place, known = _look(key, value)
             ok, place = ok[known], place[known]
             for k in range(len(languages)):
                 out[:, k] += np.bincount(row[ok], logs[place, k], len(starts))
             hits += np.bincount(row[ok], minlength=len(starts))
-            rest = np.zeros(len(marked), bool)
+            rest = np.zeros(len(row), bool)
             rest[left] = True
             rest[ok] = False
             left = np.flatnonzero(rest)
@@ -191,8 +191,8 @@ def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc
     """The likeliest language of every whole text.
 
     A text's words (lower-cased runs of letters) add their log frequency in each language. A word
-    that the model has not seen adds the mean, over its positions, of the log frequency of the
-    longest n-gram known there. The score is the softmax of the sums.
+    that the model has not seen backs off: it adds the mean, over its characters, of the log frequency of the
+    longest n-gram of characters known there. The score is the softmax of the sums.
 
     Returns id (named ``id_col``), held_out, lang_pred and score. A null text or one without a letter
     is ``und`` with score 0, and so are all texts if the model has no language; equal sums go to the

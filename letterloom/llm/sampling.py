@@ -11,25 +11,27 @@ from .common import is_held_out
 SAMPLE_BITS = 30
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame | None, id_col: str, text_col: str, label: str, most: int) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame | None, id_col: str, text_col: str, label: str, most: int, least: int = 500) -> DataFrame:
     """(text, y) of about ``most`` rows that are not held out (common.is_held_out) and have a label; all rows if there
-    are no more. Rows are chosen by the hash of their id, so a sample does not depend on partitions. Repeated
-    labels of an id count once, with the largest value."""
+    are no more. Each label has its share of them, but about ``least`` rows if it has as many, so a rare one is not lost.
+    Rows are chosen by the hash of their id, so a sample does not depend on partitions. Repeated labels of an
+    id count once, with the largest value."""
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), *([] if labels is not None else [F.col(f"`{label}`").alias("y")]))
     if labels is not None:
         labels = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label}`").alias("y")).where(F.col("y").isNotNull() & ~is_held_out("id"))
         labels = labels.groupBy("id").agg(F.max("y").alias("y"))
-        n = labels.count()
     else:
         rows = rows.where(F.col("y").isNotNull() & ~is_held_out("id"))
-        n = rows.select("id").count()
-    share = min(1.0, most / max(n, 1))
-    chosen = F.pmod(F.xxhash64("id"), F.lit(1 << SAMPLE_BITS)) < int(share * (1 << SAMPLE_BITS))
+    # one row a label
+    counts = (rows if labels is None else labels).groupBy("y").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    share = counts.select("y", F.least(F.lit(1.0), F.greatest(F.lit(most / total), least / F.col("n"))).alias("share"))
+    chosen = F.pmod(F.xxhash64("id"), F.lit(1 << SAMPLE_BITS)) < F.col("share") * F.lit(1 << SAMPLE_BITS)
     if labels is not None:
-        # no more than about ``most`` rows of two numbers
-        rows = rows.join(F.broadcast(labels.where(chosen)), "id")
+        # about ``most`` rows of two numbers, and ``least`` for each label
+        rows = rows.join(F.broadcast(labels.join(F.broadcast(share), "y").where(chosen).select("id", "y")), "id")
     else:
-        rows = rows.where(chosen)
+        rows = rows.join(F.broadcast(share), "y").where(chosen)
     return rows.select("text", "y")
 
 
