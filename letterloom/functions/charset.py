@@ -48,6 +48,9 @@ _CODE_PAGES = {
     "51932": "euc_jp", "50220": "iso2022_jp", "50221": "iso2022_jp", "50222": "iso2022_jp",
 }
 
+# Characters of the web's koi8-u that the codec lacks.
+_OTHERS = {"koi8-u": {0xAE: "\u045e", 0xBE: "\u040e"}}
+
 _KNOWN = {label: codec for codec, labels in _LABELS.items() for label in labels.split()}
 _LATIN = re.compile(r"iso[-_]?8859-?(2|3|4|5|6|7|8|10|13|14|15|16)")
 _WINDOWS = re.compile(r"(?:windows-|cp|x-cp)(125[0-8])")
@@ -83,6 +86,8 @@ def _single_bytes(codec: str) -> str:
             out.append(bytes([b]).decode(codec))
         except UnicodeDecodeError:
             out.append(chr(b) if b < 0xA0 else "\ufffd")
+    for b, c in _OTHERS.get(codec, {}).items():
+        out[b] = c
     return "".join(out)
 
 

@@ -40,6 +40,10 @@ _STEPS = [
 ]
 
 
+_CLOSINGS = {"<!--": "-->", "<scr": "</script"}
+_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+
+
 def _character(m: re.Match[str]) -> str:
     whole, name = m[0], m[1]
     if name[0] != "#":
@@ -47,7 +51,9 @@ def _character(m: re.Match[str]) -> str:
     if not whole.endswith(";"):
         return whole
     # a capital X makes no number, which reads as zero
-    code = int(name[2:], 16) if name[1] == "x" else 0 if name[1] == "X" else int(name[1:])
+    digits, base = (name[2:], 16) if name[1] == "x" else ("0" if name[1] == "X" else name[1:], 10)
+    # no character has more digits
+    code = int(digits, base) if len(digits := digits.lstrip("0") or "0") <= 8 else 0x110000
     return "\ufffd" if 0xD800 <= code <= 0xDFFF or code > 0x10FFFF else chr(code)
 
 
@@ -70,5 +76,9 @@ def text_to_html(text: str | None) -> str:
 def html_to_text(html: str | None) -> str:
     text = html or ""
     for pattern, replacement, number in _STEPS:
-        text = pattern.sub(replacement, text, count=number)
+        # behind the last end of a comment or script none of them is looked for, so that many open ones cost no more than one
+        closing = _CLOSINGS.get(pattern.pattern[:4])
+        cut = text.translate(_LOWER).rfind(closing) if closing else -1
+        end = len(text) if not closing else 0 if cut < 0 else text.find(">", cut) + 1 or len(text)
+        text = pattern.sub(replacement, text[:end], count=number) + text[end:]
     return decode_html_entities(text)

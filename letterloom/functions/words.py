@@ -177,13 +177,13 @@ def continued(params: dict[str, str]) -> dict[str, str]:
     """Puts name*0, name*1*, ... together in order of their numbers; neighbouring encoded sections
     are decoded as one, sections whose name doesn't end in an asterisk are literal."""
     whole = {k: v for k, v in params.items() if not _SECTION.search(k)}
-    found: dict[str, list[tuple[int, bool, str]]] = {}
+    found: dict[str, list[tuple[float, bool, str]]] = {}
     charset: dict[str, str | None] = {}
     for key, value in params.items():
         m = _SECTION.search(key)
         if not m:
             continue
-        name, number, encoded = key[: m.start()].lower(), int(m[1] or 0), key.endswith("*")
+        name, number, encoded = key[: m.start()].lower(), float(m[1] or 0), key.endswith("*")
         if number == 0 and encoded and (head := re.fullmatch(r"([^']*)'[^']*'([^\n\r\u2028\u2029]*)", value)):
             charset[name], value = head[1] or "utf-8", head[2]
         found.setdefault(name, []).append((number, encoded, value))

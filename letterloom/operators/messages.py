@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -14,19 +14,28 @@ from ..functions import schemas
 from ..functions.columns import flat_addresses
 from ..plans.message import ParseOptions, parse_header_block, parse_message, parse_parts
 
-BATCH_BYTES = 32 << 20
+BATCH_BYTES, SPREAD_BYTES = 32 << 20, 64 << 20
 
 
-def _parsed(df: DataFrame, raw: str, kind: str, run: Callable, options: ParseOptions, mode: str, out: str) -> DataFrame:
-    """One Arrow pass over the rows: adds ``out`` and ``_error`` to the columns, no shuffle."""
+def spread(df: DataFrame) -> DataFrame:
+    """Deals the rows of a small table out to all cores: parsing is work of its own, and a small file may
+    be a single split. A table of more than SPREAD_BYTES a core has splits enough, and is not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > cores * SPREAD_BYTES:
+        return df
+    return df.repartition(cores)
+
+
+def _parsed(df: DataFrame, raw: str, kind: str | T.StructType, run: Callable, options: ParseOptions, mode: str, out: str) -> DataFrame:
+    """One Arrow pass over the rows: adds ``out`` and ``_error`` to the columns."""
     if mode not in ("PERMISSIVE", "FAILFAST"):
         raise ValueError("mode: PERMISSIVE or FAILFAST")
     clash = {out, "_error"} & set(df.columns)
     if clash:
         raise ValueError(f"columns {sorted(clash)} are there already")
-    data = df[raw].cast("binary")
-    rows = df.withColumn("__raw", data)
-    result = T._parse_datatype_string(kind)
+    data = F.col(f"`{raw}`").cast("binary")
+    rows = spread(df).withColumn("__raw", data)
+    result = T._parse_datatype_string(kind) if isinstance(kind, str) else kind
     schema = T.StructType([*df.schema.fields, T.StructField(out, result), T.StructField("_error", T.StringType())])
     arrow = to_arrow_schema(T.StructType([T.StructField(out, result)])).field(out).type
 
@@ -43,11 +52,13 @@ def _parsed(df: DataFrame, raw: str, kind: str, run: Callable, options: ParseOpt
                     try:
                         values.append(run(data, options))
                         errors.append(None)
-                    except ValueError as e:
+                    except MemoryError:
+                        raise
+                    except Exception as e:
                         if mode == "FAILFAST":
                             raise
                         values.append(None)
-                        errors.append(str(e))
+                        errors.append(str(e) if isinstance(e, ValueError) else f"{type(e).__name__}: {e}")
                 part = batch.slice(start, at - start).drop_columns(["__raw"])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values, arrow), pa.array(errors, pa.string())], [*part.schema.names, out, "_error"])
 
@@ -60,9 +71,13 @@ def parse_messages(df: DataFrame, raw: str = "raw", options: ParseOptions | None
     return _parsed(df, raw, f"struct<{schemas.MESSAGE}>", parse_message, options or ParseOptions(), mode, out)
 
 
-def parse_headers(df: DataFrame, raw: str = "raw", options: ParseOptions | None = None, mode: str = "PERMISSIVE", out: str = "message") -> DataFrame:
-    """As parse_messages, without bodies and attachments: nothing behind the header is read."""
-    return _parsed(df, raw, f"struct<{schemas.HEADER_FIELDS}>", parse_header_block, options or ParseOptions(), mode, out)
+def parse_headers(df: DataFrame, raw: str = "raw", options: ParseOptions | None = None, mode: str = "PERMISSIVE", out: str = "message", fields: Sequence[str] | None = None) -> DataFrame:
+    """As parse_messages, without bodies and attachments: nothing behind the header is read. With
+    ``fields`` the struct has only those, and no others are made."""
+    known = T._parse_datatype_string(f"struct<{schemas.HEADER_FIELDS}>")
+    names = list(fields) if fields is not None else known.names
+    kind = T.StructType([known[n] for n in names])
+    return _parsed(df, raw, kind, lambda data, o: parse_header_block(data, o, names), options or ParseOptions(), mode, out)
 
 
 def parse_part_trees(df: DataFrame, raw: str = "raw", options: ParseOptions | None = None, mode: str = "PERMISSIVE", out: str = "parts") -> DataFrame:
@@ -79,9 +94,10 @@ def headers_table(parsed: DataFrame, *keys: str) -> DataFrame:
 
 
 def addresses_table(parsed: DataFrame, *keys: str) -> DataFrame:
-    """A row for each mailbox: role, place in its list, group's name (if any), name and address."""
+    """A row for each mailbox of the fields that were parsed: role, place in its list, group's name (if any), name and address."""
     one = lambda c: F.when(F.col(c).isNotNull(), F.array(F.col(c)))
-    roles = [("from", one("message.from")), ("sender", one("message.sender")), *((r, F.col(f"message.{r}")) for r in ("replyTo", "to", "cc", "bcc"))]
+    there = parsed.schema["message"].dataType.names
+    roles = [(r, one(f"message.{r}") if r in ("from", "sender") else F.col(f"message.{r}")) for r in ("from", "sender", "replyTo", "to", "cc", "bcc") if r in there]
     listed = F.array(*(F.struct(F.lit(r).alias("role"), c.alias("list")) for r, c in roles))
     rows = parsed.select(*keys, F.explode(listed).alias("r")).select(*keys, "r.role", F.posexplode("r.list").alias("ordinal", "a"))
     group = F.when(F.col("a.group").isNotNull(), F.col("a.name"))

@@ -7,7 +7,7 @@ their content is asked for.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 from ..functions.addresses import parse_addresses
@@ -55,6 +55,26 @@ class ParseOptions:
         object.__setattr__(self, "attachment_encoding", encoding)
 
 
+def named_headers(lines: list[str]) -> tuple[list[dict[str, str]], list[dict[str, str]]]:
+    """Headers, unfolded and named, and the same as they were written."""
+    groups: list[list[str]] = []
+    for line in lines:
+        if groups and line[:1] in (" ", "\t"):
+            groups[-1].append(line)
+        else:
+            groups.append([line])
+    headers, written = [], []
+    for g in groups:
+        raw, line = "\n".join(g), "".join(g)
+        written.append({"key": raw.partition(":")[0].strip(" \t").lower(), "line": raw})
+        key, _, value = line.partition(":")
+        key = key.strip(" \t")
+        if "\r" in value:
+            value = re.sub(r"\r+", " ", value)
+        headers.append({"key": key.lower(), "originalKey": key, "value": value.strip(" \t")})
+    return headers, written
+
+
 @dataclass(eq=False)
 class Part:
     parent: Part | None = None
@@ -88,20 +108,10 @@ class Part:
     def read_headers(self) -> None:
         """Unfolds and names the header lines, and takes what decides how the body is read."""
         self.state, self.read = "body", True
-        groups: list[list[str]] = []
-        for line in self.header_lines:
-            if groups and line[:1] in (" ", "\t"):
-                groups[-1].append(line)
-            else:
-                groups.append([line])
+        self.headers, self.raw_headers = named_headers(self.header_lines)
         first: dict[str, str] = {}
-        for g in groups:
-            raw, line = "\n".join(g), "".join(g)
-            self.raw_headers.append({"key": raw.partition(":")[0].strip(" \t").lower(), "line": raw})
-            key, _, value = line.partition(":")
-            key, value = key.strip(" \t"), re.sub(r"[\r\n]+", " ", value).strip(" \t")
-            self.headers.append({"key": key.lower(), "originalKey": key, "value": value})
-            first.setdefault(key.lower(), value)
+        for h in self.headers:
+            first.setdefault(h["key"], h["value"])
         self.type, self.params = parse_structured(first.get("content-type", self.default_type))
         self.disposition, self.disposition_params = parse_structured(first.get("content-disposition", ""))
         token = re.search(r"[A-Za-z0-9_-]+", strip_comments(first.get("content-transfer-encoding", "8bit")).lower())
@@ -293,32 +303,38 @@ def _collect(root: Part, options: ParseOptions, depth: int) -> tuple[_Bodies, li
     return bodies, attachments
 
 
-def _first(headers: list[dict[str, str]], key: str) -> str:
-    return next((h["value"] for h in headers if h["key"] == key), "")
-
-
 SINGLE = {"from": "from", "sender": "sender"}
 PLAIN_ADDRESS = {"delivered-to": "deliveredTo", "return-path": "returnPath"}
 LISTS = {"to": "to", "cc": "cc", "bcc": "bcc", "reply-to": "replyTo"}
 TEXTS = {"subject": "subject", "message-id": "messageId", "in-reply-to": "inReplyTo", "references": "references"}
 
 
-def header_fields(headers: list[dict[str, str]]) -> dict[str, object]:
-    """Fields that come from headers alone. The first of equal headers counts, even if it is empty;
-    of the lists all count, in their order."""
-    out: dict[str, object] = {}
-    for key, name in SINGLE.items():
-        out[name] = next(iter(parse_addresses(_first(headers, key))), None)
-    for key, name in PLAIN_ADDRESS.items():
-        found = parse_addresses(_first(headers, key))
-        out[name] = (found[0]["address"] or None) if found else None
-    for key, name in LISTS.items():
-        out[name] = [a for h in headers if h["key"] == key and h["value"] for a in parse_addresses(h["value"])] or None
-    for key, name in TEXTS.items():
-        value = _first(headers, key)
-        out[name] = decode_words(value) if value else None
-    out["date"] = iso_date(_first(headers, "date")) if any(h["key"] == "date" for h in headers) else None
-    return out
+#: Names of the fields by the header that they come from.
+FIELD_KEYS = {name: key for group in (SINGLE, PLAIN_ADDRESS, LISTS, TEXTS, {"date": "date"}) for key, name in group.items()}
+
+
+def _field(name: str, values: list[str]) -> object:
+    """A field from the values of its headers, in their order."""
+    first = values[0] if values else ""
+    if name in TEXTS.values():
+        return decode_words(first) if first else None
+    if name in LISTS.values():
+        return [a for v in values if v for a in parse_addresses(v)] or None
+    if name == "date":
+        return iso_date(first) if values else None
+    found = parse_addresses(first) if first else []
+    if name in SINGLE.values():
+        return found[0] if found else None
+    return (found[0]["address"] or None) if found else None
+
+
+def header_fields(headers: list[dict[str, str]], names: Iterable[str] = tuple(FIELD_KEYS)) -> dict[str, object]:
+    """The named fields, which come from headers alone. The first of equal headers counts, even if it is
+    empty; of the lists all count, in their order."""
+    values: dict[str, list[str]] = {}
+    for h in headers:
+        values.setdefault(h["key"], []).append(h["value"])
+    return {name: _field(name, values.get(FIELD_KEYS[name], [])) for name in names}
 
 
 def _parse(raw: bytes, options: ParseOptions, depth: int) -> tuple[dict[str, object], _Bodies]:
@@ -346,12 +362,21 @@ def parse_message(raw: bytes | str | None, options: ParseOptions | None = None)
     return message
 
 
-def parse_header_block(raw: bytes | str | None, options: ParseOptions | None = None) -> dict[str, object]:
-    """Headers and header fields only; reads no further than the first empty line."""
-    raw = as_bytes(raw)
-    end = re.search(rb"(?:\A|\n)\r*\n", raw)
-    root = read_tree(raw[: end.end()] if end else raw, options or ParseOptions())
-    return {"headers": root.headers, "headerLines": root.raw_headers, **header_fields(root.headers)}
+HEADER_FIELDS = ("headers", "headerLines", *FIELD_KEYS)
+_END = re.compile(rb"(?:\A|\n)\r*\n")
+_DEFAULTS = ParseOptions()
+
+
+def parse_header_block(raw: bytes | str | None, options: ParseOptions | None = None, names: Iterable[str] = HEADER_FIELDS) -> dict[str, object]:
+    """The named ones of HEADER_FIELDS; reads no further than the first empty line."""
+    raw, most = as_bytes(raw), (options or _DEFAULTS).max_headers_size
+    end = _END.search(raw)
+    lines = [x for x in split_lines(raw[: end.start()] if end else raw) if x]
+    if sum(map(len, lines)) > most:
+        raise MessageError(f"Maximum header size of {most} bytes exceeded")
+    headers, written = named_headers([x.decode("utf-8", "replace") for x in lines])
+    both = {"headers": headers, "headerLines": written}
+    return {k: v for k, v in both.items() if k in names} | header_fields(headers, [n for n in names if n not in both])
 
 
 def parse_parts(raw: bytes | str | None, options: ParseOptions | None = None) -> list[dict[str, object]]:

@@ -53,14 +53,14 @@ _MULTI = "MIME-Version: 1.0\r\nContent-Type: multipart/{}; boundary=\"AAA\"\r\n\
 def headers_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _read(spark, sf_dir, "orders")
     raw = _raw("From: Customer ", F.col("o_custkey"), " <c", F.col("o_custkey"), "@shop.test>\r\nSUBJECT:  order ", F.col("o_orderkey"), " \r\nMessage-ID: <", F.col("o_orderkey"), "@orders.test>\r\n\r\nbody")
-    p = M.parse_headers(o.select("o_orderkey", raw))
+    p = M.parse_headers(o.select("o_orderkey", raw), fields=["subject", "messageId", "from"])
     return p.select("o_orderkey", "message.subject", F.col("message.messageId").alias("message_id"), F.col("message.from.name").alias("from_name"), F.col("message.from.address").alias("from_address"))
 
 
 @query("SELECT c_custkey, 'Account ' || c_name || chr(9) || 'end' AS subject, 3 AS n_lines, 'x-first' AS second_key FROM customer")
 def headers_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _read(spark, sf_dir, "customer")
-    p = M.parse_headers(c.select("c_custkey", _raw("Subject: Account\r\n ", F.col("c_name"), "\r\n\tend\r\nX-First: a\r\nSubject: other\r\n\r\n")))
+    p = M.parse_headers(c.select("c_custkey", _raw("Subject: Account\r\n ", F.col("c_name"), "\r\n\tend\r\nX-First: a\r\nSubject: other\r\n\r\n")), fields=["headers", "headerLines"])
     return p.select("c_custkey", C.first_header("message.headers", "subject").alias("subject"), F.size("message.headerLines").alias("n_lines"), F.col("message.headers")[1]["key"].alias("second_key"))
 
 
@@ -96,14 +96,6 @@ def body_base64(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.parse_messages(d.select("doc_id", raw)).select("doc_id", F.col("message.text").alias("body"))
 
 
-@query("SELECT doc_id, substr(text, 1, 10) || substr(text, 11, 10) AS body FROM documents WHERE length(text) >= 20")
-def body_base64_padded_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _read(spark, sf_dir, "documents").where("length(text) >= 20")
-    pieces = [C.base64_text(F.encode(F.substring("text", i, 10), "UTF-8")) for i in (1, 11)]
-    raw = _raw("Content-Type: text/plain; charset=utf-8\r\nContent-Transfer-Encoding: base64\r\n\r\n", pieces[0], "\r\n", pieces[1], "\r\n")
-    return M.parse_messages(d.select("doc_id", raw)).select("doc_id", F.col("message.text").alias("body"))
-
-
 @query("SELECT doc_id, nullif(text, '') AS body FROM documents")
 def body_base64_padded_lines_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts of every document, each line of ten characters padded on its own."""
@@ -113,19 +105,6 @@ def body_base64_padded_lines_whole(spark: SparkSession, sf_dir: str) -> DataFram
     return M.parse_messages(d.select("doc_id", raw)).select("doc_id", F.col("message.text").alias("body"))
 
 
-@query("SELECT doc_id, replace(substr(text, 1, 40), chr(10), ' ') AS subject FROM documents")
-def encoded_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _read(spark, sf_dir, "documents").select("doc_id", F.replace(F.substring("text", 1, 40), F.lit("\n"), F.lit(" ")).alias("s"))
-    q = F.substring("s", 21, 20)
-    for a, b in (("=", "=3D"), ("_", "=5F"), ("?", "=3F"), (" ", "_")):
-        q = F.replace(q, F.lit(a), F.lit(b))
-    half = F.encode(F.substring("s", 1, 20), "UTF-8")
-    # the first half is cut between bytes: its words are decoded as one
-    b64 = [C.base64_text(x) for x in (F.substring(half, 1, 9), F.substring(half, 10, 100))]
-    text = _text("=?UTF-8?B?", b64[0], "?= =?UTF-8?B?", b64[1], "?=\t=?utf-8*en?q?", q, "?=")
-    return d.select("doc_id", C.decode_words(text).alias("subject"))
-
-
 def _pieces(c: Column | str, n: int) -> Column:
     """All of a text in pieces of n characters, the last one shorter."""
     return F.regexp_extract_all(c, F.lit(f"(?s).{{1,{n}}}"), F.lit(0))
@@ -148,17 +127,10 @@ def encoded_words_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     # words are decoded one by one where a replacement character shows, so then none may be cut within a character
     runs = F.transform(_pieces("text", 200), lambda b, i: F.array_join(F.when((i % 2 == 0) & ~F.contains("text", F.lit("\ufffd")), b_words(b)).otherwise(q_words(b)), "\t"))
     # one element: Spark doesn't find a Python function again whose argument holds nested lambdas, so that is a column of its own
-    words = d.select("doc_id", F.explode(F.array(F.array_join(runs, " "))).alias("words"))
+    words = M.spread(d).select("doc_id", F.explode(F.array(F.array_join(runs, " "))).alias("words"))
     return words.select("doc_id", C.decode_words("words").alias("subject"))
 
 
-@query(f"SELECT doc_id, {_BODY} AS body FROM documents WHERE lang IN ('de', 'fr', 'es') AND NOT regexp_matches(text, '[^\\x{{00}}-\\x{{FF}}]')")
-def body_charset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _read(spark, sf_dir, "documents").where("lang IN ('de', 'fr', 'es')").where(~F.col("text").rlike(r"[^\x{00}-\x{FF}]"))
-    raw = F.concat(F.encode(F.lit("Content-Type: text/plain; charset=\"iso-8859-1\"\r\n\r\n"), "UTF-8"), F.encode("text", "ISO-8859-1")).alias("raw")
-    return M.parse_messages(d.select("doc_id", raw)).select("doc_id", F.col("message.text").alias("body"))
-
-
 @query(f"SELECT doc_id, {_BODY} AS body FROM documents")
 def body_charset_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, in ISO-8859-1 where that holds its text (C1 controls are other characters in mail), else in UTF-8."""
@@ -187,15 +159,17 @@ def addresses_named(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT n_name AS group_name, count(*) AS members, min('c' || c_custkey || '@shop.test') AS first_address FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
 def addresses_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, n = _read(spark, sf_dir, "customer"), _read(spark, sf_dir, "nation")
-    lists = c.join(n, c.c_nationkey == n.n_nationkey).groupBy("n_name").agg(F.array_join(F.collect_list(_text("c", F.col("c_custkey"), "@shop.test")), ", ").alias("l"))
-    p = M.parse_headers(lists.select(_raw("To: ", F.col("n_name"), ": ", F.col("l"), ";, last@shop.test\r\n\r\n")))
+    # up to a thousand members a message
+    named = c.join(n, c.c_nationkey == n.n_nationkey).groupBy("n_name", F.floor(F.col("c_custkey") / 1000))
+    lists = named.agg(F.array_join(F.collect_list(_text("c", F.col("c_custkey"), "@shop.test")), ", ").alias("l"))
+    p = M.parse_headers(lists.select(_raw("To: ", F.col("n_name"), ": ", F.col("l"), ";, last@shop.test\r\n\r\n")), fields=["to"])
     rows = M.addresses_table(p).where("group_name IS NOT NULL")
     return rows.groupBy("group_name").agg(F.count(F.lit(1)).alias("members"), F.min("address").alias("first_address"))
 
 
-@query(r"SELECT doc_id, nullif(regexp_extract(text, '\b[^@\s]+@[^\s]+\b'), '') AS address FROM documents WHERE text LIKE '%@%'")
+@query(r"SELECT doc_id, nullif(regexp_extract(text, '\b[^@\s]+@[^\s]+\b'), '') AS address FROM documents")
 def addresses_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _read(spark, sf_dir, "documents").where(F.col("text").contains("@"))
+    d = M.spread(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", C.call("find_address", "text").alias("address"))
 
 
@@ -207,10 +181,10 @@ def body_mixed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("conv_id", F.col("message.text").alias("body"))
 
 
-@query("SELECT doc_id, text || chr(10) AS plain, html || chr(10) AS html FROM documents JOIN pages ON doc_id = page_id")
+@query("SELECT doc_id, text || chr(10) AS plain, CASE WHEN text IS NOT NULL THEN coalesce(html, 'none') || chr(10) END AS html FROM documents LEFT JOIN pages ON doc_id = page_id")
 def body_alternative(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, p = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "pages")
-    both = d.join(p, d.doc_id == p.page_id)
+    both = d.join(p, d.doc_id == p.page_id, "left").withColumn("html", F.coalesce("html", F.lit("none")))
     raw = _raw(_MULTI.format("alternative"), "--AAA\r\nContent-Type: text/plain; charset=utf-8\r\n\r\n", F.col("text"), "\n--AAA\r\nContent-Type: text/html; charset=utf-8\r\n\r\n", F.col("html"), "\n--AAA--")
     return M.parse_messages(both.select("doc_id", raw)).select("doc_id", F.col("message.text").alias("plain"), F.col("message.html").alias("html"))
 
@@ -218,10 +192,10 @@ def body_alternative(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ESCAPED = "replace(replace(replace(replace(replace(replace(trim(text || chr(10), ' ' || chr(9) || chr(10) || chr(13)), '&', '&#x26;'), '<', '&#x3C;'), '>', '&#x3E;'), '\"', '&#x22;'), '''', '&#x27;'), '?', '&#x3F;')"
 
 
-@query(f"SELECT doc_id, html || chr(10) || chr(10) || '<div>' || replace({_ESCAPED}, chr(10), '<br />') || '</div>' AS html FROM documents JOIN pages ON doc_id = page_id")
+@query(f"SELECT doc_id, coalesce(html, 'none') || chr(10) || chr(10) || '<div>' || replace({_ESCAPED}, chr(10), '<br />') || '</div>' AS html FROM documents LEFT JOIN pages ON doc_id = page_id")
 def body_mixed_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, p = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "pages")
-    both = d.join(p, d.doc_id == p.page_id)
+    both = d.join(p, d.doc_id == p.page_id, "left").withColumn("html", F.coalesce("html", F.lit("none")))
     raw = _raw(_MULTI.format("mixed"), "--AAA\r\nContent-Type: text/html; charset=utf-8\r\n\r\n", F.col("html"), "\n--AAA\r\nContent-Type: text/plain; charset=utf-8\r\n\r\n", F.col("text"), "\n--AAA--")
     return M.parse_messages(both.select("doc_id", raw)).select("doc_id", F.col("message.html").alias("html"))
 
@@ -302,6 +276,7 @@ def dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", C.parse_email_date(_text(F.date_format("o_orderdate", "EEE, d MMM yyyy HH:mm:ss"), " +0200 (CEST)")).alias("sent"))
 
 
+# The steps from HTML to text, in their order.
 def _sql_html_to_text(column: str) -> str:
     out = column
     steps = [
@@ -326,12 +301,12 @@ def _sql_entities(column: str) -> str:
 
 @query(f"SELECT page_id, {_sql_html_to_text('html')} AS text FROM pages")
 def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "pages").select("page_id", C.html_to_text("html").alias("text"))
+    return M.spread(_read(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", C.html_to_text("html").alias("text"))
 
 
 @query(f"SELECT page_id, {_sql_entities('html')} AS html FROM pages")
 def html_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "pages").select("page_id", C.decode_html_entities("html").alias("html"))
+    return M.spread(_read(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", C.decode_html_entities("html").alias("html"))
 
 
 _TRIMMED = _ESCAPED.replace("text || chr(10)", "text")
@@ -342,16 +317,102 @@ def text_to_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "documents").select("doc_id", C.escape_html("text").alias("escaped"), C.text_to_html("text").alias("html"))
 
 
-_FLOWABLE = "text <> '' AND text NOT LIKE '%  %' AND text NOT LIKE '% ' AND text NOT LIKE ' %' AND text NOT LIKE '% ' || chr(10) || '%' AND text NOT LIKE '%' || chr(10) || ' %' AND text NOT LIKE '%' || chr(9) || '%'"
+@query(f"SELECT doc_id, {_BODY} AS body FROM documents")
+def body_flowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document; those that have a line which ends in a space, which flowed text cannot say, are sent as they are."""
+    d = _read(spark, sf_dir, "documents")
+    flowed = ~F.col("text").rlike(r" (\n|$)")
+    # each space ends a line that goes on, and each line is stuffed with one
+    soft = F.concat(F.lit(" "), F.replace(F.regexp_replace(F.replace("text", F.lit(" "), F.lit("  \r")), r"\n(?=(?s:.))", "\n "), F.lit("\r"), F.lit("\r\n ")))
+    kind = F.when(flowed & (F.col("text") != ""), "; format=flowed; DelSp=yes").otherwise("")
+    body = F.when(kind != "", soft).otherwise(F.col("text"))
+    raw = _raw("Content-Type: text/plain; charset=utf-8", kind, "\r\n\r\n", body)
+    return M.parse_messages(d.select("doc_id", raw)).select("doc_id", F.col("message.text").alias("body"))
 
 
-@query(f"SELECT doc_id, {_BODY} AS body FROM documents WHERE {_FLOWABLE} AND text NOT LIKE '%-- %'")
-def body_flowed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _read(spark, sf_dir, "documents").where(_FLOWABLE.replace("chr(10)", "'\\n'").replace("chr(9)", "'\\t'") + " AND text NOT LIKE '%-- %'")
-    raw = _raw("Content-Type: text/plain; charset=utf-8; format=flowed; DelSp=yes\r\n\r\n", F.replace(F.col("text"), F.lit(" "), F.lit("  \r\n")))
+@query("SELECT doc_id, nullif(text, '') AS body FROM documents")
+def body_utf16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in UTF-16, as base64 in lines of 76 characters that cut its units."""
+    d = _read(spark, sf_dir, "documents")
+    lines = F.array_join(_pieces(C.base64_text(F.encode("text", "UTF-16LE")), 76), "\r\n")
+    raw = _raw("Content-Type: text/plain; charset=UTF-16LE\r\nContent-Transfer-Encoding: base64\r\n\r\n", lines, "\r\n")
     return M.parse_messages(d.select("doc_id", raw)).select("doc_id", F.col("message.text").alias("body"))
 
 
+@query(f"SELECT page_id, 'before' || chr(10) || chr(10) || {_sql_html_to_text("html || chr(10)")} AS body FROM pages")
+def body_html_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mixed message whose second part is HTML only: its text is made from that."""
+    p = _read(spark, sf_dir, "pages")
+    raw = _raw(_MULTI.format("mixed"), "--AAA\r\n\r\nbefore\n--AAA\r\nContent-Type: text/html; charset=utf-8\r\n\r\n", F.col("html"), "\n--AAA--")
+    return M.parse_messages(p.select("page_id", raw)).select("page_id", F.col("message.text").alias("body"))
+
+
+@query(
+    """SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'inline' WHEN 1 THEN 'attachment' END AS disposition, nullif(html, '') AS content, 'utf8' AS encoding FROM pages"""
+)
+def attachment_utf8_option(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as attachments shown as text, with each disposition and with none."""
+    p = _read(spark, sf_dir, "pages")
+    shown = F.when(F.col("page_id") % 3 == 0, "Content-Disposition: INLINE; filename=x\r\n").when(F.col("page_id") % 3 == 1, "Content-Disposition: attachment\r\n").otherwise("")
+    raw = _raw("Content-Type: application/xhtml\r\nContent-Transfer-Encoding: base64\r\n", shown, "\r\n", F.base64(F.encode("html", "UTF-8")))
+    a = M.parse_messages(p.select("page_id", raw), options=ParseOptions(attachment_encoding="utf-8")).select("page_id", F.explode("message.attachments").alias("a"))
+    return a.select("page_id", "a.disposition", F.nullif("a.contentText", F.lit("")).alias("content"), "a.encoding")
+
+
+@query("SELECT o_orderkey, 'box' || o_custkey || '@shop.test' AS delivered_to, CASE WHEN o_orderkey % 2 = 0 THEN 'bounce@shop.test' END AS return_path FROM orders")
+def headers_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _read(spark, sf_dir, "orders")
+    back = F.when(F.col("o_orderkey") % 2 == 0, "<bounce@shop.test>").otherwise("<>")
+    raw = _raw("Return-Path: ", back, "\r\nDelivered-To: box", F.col("o_custkey"), "@shop.test\r\nDelivered-To: second@shop.test\r\n\r\n")
+    p = M.parse_headers(o.select("o_orderkey", raw), fields=["deliveredTo", "returnPath"])
+    return p.select("o_orderkey", F.col("message.deliveredTo").alias("delivered_to"), F.col("message.returnPath").alias("return_path"))
+
+
+# Markup and class names of headers of forwarded messages shown as HTML.
+_ROW = "'<div class=\"postal-email-header-row\"><div class=\"postal-email-header-key\">{}</div><div class=\"postal-email-header-value{}>' || {} || '</div></div>'"
+_LINK = "'<a href=\"mailto:' || {0} || '\" class=\"postal-email-address\">' || {1} || '</a>'"
+_AND = "' <span class=\"postal-email-address-separator\">, </span> '"
+_FORWARDED = " || chr(10) || ".join(
+    [
+        "'<div class=\"postal-email-header\">' || " + _ROW.format("From", '"', _LINK.format("'c' || o_custkey || '@shop.test'", "'R&#x26;D ' || o_custkey")),
+        _ROW.format("Subject", ' postal-email-header-subject"', "'order &#x3C;' || o_orderkey || '&#x3E;'"),
+        _ROW.format("Date", " postal-email-header-date\" data-date=\"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000Z') || '\"", "strftime(o_orderdate, '%-m/%-d/%Y, %H:%M:%S')"),
+        _ROW.format("To", '"', " || ".join([_LINK.format("'a@shop.test'", "'&#x3C;a@shop.test&#x3E;'"), _AND, "'<span class=\"postal-email-address-group\">team:</span> '", _LINK.format("'b@shop.test'", "'B'"), "' <span class=\"postal-email-address-group\">;</span>'"])) + " || '</div>'",
+    ]
+)
+
+
+@query(f"SELECT o_orderkey, {_FORWARDED} || chr(10) || '<p>' || o_orderkey || '</p>' || chr(10) AS html FROM orders")
+def forwarded_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A forwarded message as HTML: its headers with addresses, a group and a date, then its body."""
+    o = _read(spark, sf_dir, "orders")
+    raw = _raw("Content-Type: message/rfc822\r\n\r\nFrom: \"R&D ", F.col("o_custkey"), "\" <c", F.col("o_custkey"), "@shop.test>\r\nTo: a@shop.test, team: B <b@shop.test>;\r\nSubject: order <", F.col("o_orderkey"), ">\r\nDate: ",
+               F.date_format("o_orderdate", "EEE, d MMM yyyy HH:mm:ss"), " +0000\r\nContent-Type: text/html\r\n\r\n<p>", F.col("o_orderkey"), "</p>\r\n")
+    return M.parse_messages(o.select("o_orderkey", raw)).select("o_orderkey", F.col("message.html").alias("html"))
+
+
+@query("SELECT c_custkey, repeat('word ', 15) || 'w' || c_custkey || ' ' || chr(13) || chr(10) || repeat('x', 90) || ' ' || chr(13) || chr(10) || 'end' AS folded FROM customer")
+def folded_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines longer than 80 characters, broken behind white space; a long word stays whole."""
+    c = _read(spark, sf_dir, "customer")
+    text = _text(F.repeat(F.lit("word "), F.lit(15)), "w", F.col("c_custkey"), " ", F.repeat(F.lit("x"), F.lit(90)), " end")
+    return c.select("c_custkey", C.call("fold_lines", text, F.lit(80), F.lit(True)).alias("folded"))
+
+
+@query("SELECT o_orderkey, 'order ' || o_orderkey AS subject, 'c' || o_custkey || '@shop.test' AS sender FROM orders")
+def stream_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders as a stream of messages that is read to its end: what a table of them gives."""
+    from ..streaming.messages import parse_stream, shared_folder, write_stream
+
+    schema = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").schema
+    o = spark.readStream.schema(schema).option("pathGlobFilter", "*orders*").parquet(sf_dir)
+    raw = _raw("From: c", F.col("o_custkey"), "@shop.test\r\nSubject: order ", F.col("o_orderkey"), "\r\n\r\nbody")
+    out = shared_folder(spark, "stream-headers")
+    parsed = parse_stream(o.select("o_orderkey", raw)).select("o_orderkey", "message.subject", F.col("message.from.address").alias("sender"))
+    write_stream(parsed, f"{out}/messages", f"{out}/checkpoint", available_now=True).awaitTermination()
+    return spark.read.parquet(f"{out}/messages")
+
+
 @query("SELECT event_id, 'REQUEST' AS method, 'BEGIN:VCALENDAR' || chr(10) || 'SUMMARY:' || event_type || chr(10) || 'END:VCALENDAR' || chr(10) AS calendar FROM events")
 def attachment_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _read(spark, sf_dir, "events")
@@ -378,20 +439,20 @@ def threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _read(spark, sf_dir, "conversations").withColumn("before", F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn")))
     mid = lambda t: F.concat(F.lit("<"), F.col("conv_id"), F.lit("."), t, F.lit("@talk.test>"))
     raw = _raw("From: ", F.col("role"), "@talk.test\r\nMessage-ID: ", mid(F.col("turn")), "\r\n", F.coalesce(F.concat(F.lit("In-Reply-To: "), mid(F.col("before")), F.lit("\r\n")), F.lit("")), "\r\n")
-    p = M.parse_headers(c.select(raw)).select(F.split_part("message.from.address", F.lit("@"), F.lit(1)).alias("role"), "message.messageId", "message.inReplyTo")
+    p = M.parse_headers(c.select(raw), fields=["from", "messageId", "inReplyTo"]).select(F.split_part("message.from.address", F.lit("@"), F.lit(1)).alias("role"), "message.messageId", "message.inReplyTo")
     child = p.where("inReplyTo IS NOT NULL").select(F.col("role").alias("reply_role"), "inReplyTo")
     return child.join(p.select(F.col("role").alias("parent_role"), "messageId"), F.col("inReplyTo") == F.col("messageId")).groupBy("parent_role", "reply_role").agg(F.count(F.lit(1)).alias("replies"))
 
 
 @query("SELECT key, count(*) AS headers FROM (SELECT unnest(['from', 'to', 'subject']) AS key FROM orders) GROUP BY key")
 def header_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = M.parse_headers(_read(spark, sf_dir, "orders").select(_raw("From: a@b.test\r\nTO: c@d.test\r\nSubject: ", F.col("o_orderkey"), "\r\n\r\n")))
+    p = M.parse_headers(_read(spark, sf_dir, "orders").select(_raw("From: a@b.test\r\nTO: c@d.test\r\nSubject: ", F.col("o_orderkey"), "\r\n\r\n")), fields=["headers"])
     return M.headers_table(p).groupBy("key").agg(F.count(F.lit(1)).alias("headers"))
 
 
 @query("SELECT 'c' || o_custkey || '@shop.test' AS address, count(*) AS messages FROM orders GROUP BY o_custkey ORDER BY messages DESC, address LIMIT 20")
 def top_recipients(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A report of the twenty addresses that get most messages."""
-    p = M.parse_headers(_read(spark, sf_dir, "orders").select(_raw("To: Customer <c", F.col("o_custkey"), "@shop.test>\r\nSubject: ", F.col("o_orderkey"), "\r\n\r\n")))
+    p = M.parse_headers(_read(spark, sf_dir, "orders").select(_raw("To: Customer <c", F.col("o_custkey"), "@shop.test>\r\nSubject: ", F.col("o_orderkey"), "\r\n\r\n")), fields=["to"])
     rows = M.addresses_table(p).where("role = 'to'").groupBy("address").agg(F.count(F.lit(1)).alias("messages"))
     return rows.orderBy(F.desc("messages"), "address").limit(20)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -26,3 +29,12 @@ def write_stream(parsed: DataFrame, path: str, checkpoint: str, available_now: b
     """To parquet, each message exactly once; ``checkpoint`` must be a folder that all machines share."""
     writer = parsed.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that all machines share: what spark.checkpoint.dir names, else the warehouse, or a
+    temporary one where all run on one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        named = tempfile.gettempdir() if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
+    return f"{named.rstrip('/')}/letterloom/{name}-{uuid.uuid4().hex}"

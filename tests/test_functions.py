@@ -2,6 +2,7 @@ import time
 
 import pytest
 
+from letterloom.functions import charset
 from letterloom.functions.addresses import parse_addresses
 from letterloom.functions.charset import codec_of, decode_charset
 from letterloom.functions.dates import iso_date
@@ -76,3 +77,42 @@ def test_address_search_is_linear():
     start = time.time()
     parse_addresses("x" + " " * 50_000 + "y" * 50_000)
     assert time.time() - start < 5
+
+
+def test_numbers_that_are_too_long():
+    from letterloom.functions.html import decode_html_entities
+    from letterloom.functions.words import continued
+
+    assert decode_html_entities("&#" + "9" * 5000 + ";&#" + "0" * 5000 + "65;&#x" + "f" * 5000 + ";") == "\ufffdA\ufffd"
+    assert continued({"n*" + "9" * 5000: "b", "n*0": "a"}) == {"n": "ab"}
+
+
+def test_many_comments_without_an_end():
+    import time
+
+    from letterloom.functions.html import html_to_text
+
+    start = time.time()
+    html_to_text("<!-- a -->" + "<!--" * 50_000 + "<script>" * 50_000)
+    assert time.time() - start < 5
+
+
+def test_every_label_decodes():
+    for label, codec in charset._KNOWN.items():
+        text = "Az é Ж 中 🙂" if codec.startswith("utf") else "".join(c for c in "Az é ž Ж ģ א β ع ก 中 あ 한" if c.encode(codec, "ignore"))
+        assert charset.decode_charset(text.encode(codec), f" {label.upper()} ") == text
+
+
+def test_koi8_u():
+    assert charset.decode_charset(b"\xae\xbe\xc1", "koi8-u") == "\u045e\u040e\u0430"
+
+
+def test_fold_lines_keeps_words_and_own_lines():
+    from letterloom.functions.render import fold_lines
+
+    text = "word " * 40 + "x" * 100 + " end\nown line\r\n" + "last " * 3
+    for after in (False, True):
+        out = fold_lines(text, 30, after)
+        assert out.replace("\r\n", "").replace("\n", "") == text.replace("\r\n", "").replace("\n", "")
+        assert all(len(x) <= 30 or " " not in x.strip() for x in out.splitlines())
+    assert fold_lines("ab cd ef", 5) == "ab\r\n cd\r\n ef" and fold_lines("ab cd ef", 6, True) == "ab cd \r\nef"

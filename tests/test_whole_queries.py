@@ -37,3 +37,8 @@ def test_body_base64_padded_lines_whole(spark, odd):
 
 def test_body_charset_whole(spark, odd):
     whole(spark, odd, "body_charset_whole")
+
+
+@pytest.mark.parametrize("name", ["body_flowed", "body_utf16", "addresses_in_text"])
+def test_whole(spark, odd, name):
+    whole(spark, odd, name)
