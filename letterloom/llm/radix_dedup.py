@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,16 +15,21 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FIRST_DIGIT, GROWTH = 64, 4
 
 
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds sha256 of the normalised text, and leaves of the text what the next digit reads."""
-    fold = bytes.maketrans(UPPER.encode(), LOWER.encode())
-    for batch in batches:
-        texts = [(x or b"").translate(fold) for x in batch.column("text").to_pylist()]
-        go_on = batch.column("open").to_pylist()
-        rest = pa.array([t[FIRST_DIGIT:] if o else None for t, o in zip(texts, go_on, strict=True)], pa.binary())
-        sha = pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())
-        names = [n for n in batch.schema.names if n not in ("text", "open")]
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), sha, rest], [*names, "text_sha256", "rest"])
+def _hashed(with_rest: bool) -> Callable:
+    """Adds sha256 of the normalised text and, ``with_rest``, what the first digit leaves of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold = bytes.maketrans(UPPER.encode(), LOWER.encode())
+        for batch in batches:
+            texts = [(x or b"").translate(fold) for x in batch.column("text").to_pylist()]
+            columns = {n: batch.column(n) for n in batch.schema.names if n not in ("text", "open")}
+            columns["text_sha256"] = pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())
+            if with_rest:
+                go_on = batch.column("open").to_pylist()
+                columns["rest"] = pa.array([t[FIRST_DIGIT:] if o else None for t, o in zip(texts, go_on, strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    return run
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", payload: list[str] | None = None) -> DataFrame:
@@ -58,8 +63,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         join_groups(rows.withColumn("rid", F.monotonically_increasing_id()), sizes, "digit", how="left")
         .select("id", "rid", *(["payload"] if payload else []), F.when(F.col("n") > 1, F.lit(0)).cast("long").alias("node"), F.col("digit"), F.coalesce(F.col("n") > 1, F.lit(False)).alias("open"), text.cast("binary").alias("text"))
     )
-    schema = first.drop("text", "open").schema.add("text_sha256", "string").add("rest", "binary")
-    first = table(first.mapInArrow(_hashed, schema), "radix")
+    schema = first.drop("text", "open").schema.add("text_sha256", "string")
+    schema = schema if sent else schema.add("rest", "binary")
+    first = table(first.mapInArrow(_hashed(not sent), schema), "radix")
     drop_table(sizes)
 
     # the payload stays behind while groups are split
@@ -67,7 +73,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = ["payload"] if payload else []
     single = first.where("node IS NULL").select(*keep, *own)
     done = [single.select(*keep, *own, F.col("id").alias("keep_id"), F.col("rid").alias("keep_rid"), F.lit(1).cast("long").alias("group_size"))]
-    now, width = first.where("node IS NOT NULL"), FIRST_DIGIT
+    now, width, rounds = first.where("node IS NOT NULL"), FIRST_DIGIT, []
+    if sent:
+        # what the first round reads is in the payload
+        whole = F.translate(F.coalesce(F.col("payload")[text_col].cast("string"), F.lit("")), UPPER, LOWER).cast("binary")
+        now = now.withColumn("rest", F.substring(whole, FIRST_DIGIT + 1, 2147483647))
     while True:
         groups = table(now.groupBy("node", "digit").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("id", "rid")).alias("top")), f"groups{width}")
         split = join_groups(now, groups, "node", "digit")
@@ -85,6 +95,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         )
         nxt = table(nxt, f"radix{width}")
         drop_table(groups)
+        rounds.append(nxt)
         done.append(nxt.where("node IS NULL").drop("node", "digit", "rest"))
         now, width = nxt.where("node IS NOT NULL"), after
         if now.isEmpty():
@@ -92,6 +103,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     split = done[1]
     for d in done[2:]:
         split = split.unionByName(d)
+    # the rounds' tables hold what was left of the texts; only the groups stay
+    split = table(split, "groups")
+    for t in rounds:
+        drop_table(t)
     if payload:
         split = split.join(first.where("node IS NOT NULL").select("rid", "payload"), "rid")
     out = done[0].unionByName(split)
