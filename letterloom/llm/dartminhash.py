@@ -206,7 +206,7 @@ def _in_blocks(left: DataFrame, texts: DataFrame, size: int, least: float) -> Da
     stats = mine.groupBy("bucket").agg(F.sum("k").alias("n"), F.max(F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"))
     stats = stats.where("comps > 1").select("bucket", "n", F.col("main.comp").alias("main"), (F.col("n") - F.col("main.k")).alias("asking"))
     rows = left.select("bucket", "node", "comp", "weight").join(stats, "bucket").withColumn("asks", F.col("comp") != F.col("main"))
-    rows = table(rows.join(texts, "node"), "open")
+    rows = table(rows.join(texts, "node").select("bucket", "node", "comp", "weight", "n", "asking", "asks", "text"), "open")
     small = F.col("n") <= BLOCK
     bins = max((rows.where(small).agg(F.sum("weight")).first()[0] or 0) // BLOCK, 1)
     whole = rows.where(small).select(F.struct(F.pmod(F.xxhash64("bucket"), F.lit(bins)).alias("x"), F.lit(-1).cast("long").alias("y"), F.lit(-1).cast("long").alias("z")).alias("grp"), "bucket", "node", "comp", "asks", F.lit(True).alias("answers"), "text")
@@ -215,7 +215,9 @@ def _in_blocks(left: DataFrame, texts: DataFrame, size: int, least: float) -> Da
     ask = rows.where(~small & F.col("asks")).withColumn("y", place("asking")).withColumn("z", every("n"))
     answer = rows.where(~small).withColumn("z", place("n")).withColumn("y", every("asking"))
     large = [x.select(F.struct(F.col("bucket").alias("x"), "y", "z").alias("grp"), "bucket", "node", "comp", F.lit(a).alias("asks"), F.lit(not a).alias("answers"), "text") for x, a in ((ask, True), (answer, False))]
-    return whole.union(large[0]).union(large[1]).groupBy("grp").applyInArrow(_meet(size, least), "a long, b long, comp_a long, comp_b long, similarity double")
+    found = table(whole.union(large[0]).union(large[1]).groupBy("grp").applyInArrow(_meet(size, least), "a long, b long, comp_a long, comp_b long, similarity double"), "verified")
+    drop_table(rows)
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -287,14 +289,19 @@ def near_duplicates(
     comp = components(one).select("node", "comp")
     # round two: what is still apart
     left = member.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    two = table(_in_blocks(left, texts, shingle_words, threshold), "verified")
+    two = _in_blocks(left, texts, shingle_words, threshold)
     # its links join components; a node that had no link is a component of its own
+    drop_table(texts)
+    drop_table(member)
     joined = components(two.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")).distinct()).select("node", "comp")
     alone = joined.select("node").join(comp, "node", "left_anti").select("node", F.col("node").alias("comp"))
     wider = joined.select(F.col("node").alias("comp"), F.col("comp").alias("wider"))
     comp = table(comp.union(alone).join(wider, "comp", "left").select("node", F.coalesce("wider", "comp").alias("comp")), "components")
     named = table(nodes.select("digest", "node", "n").join(comp, "node", "left").select("digest", F.coalesce("comp", "node").alias("class"), "n"), "classes")
+    drop_table(nodes)
     seen = table(join_groups(sketch.select("id", "digest", "rid"), named, "digest", how="left").drop("n"), "near")
+    for t in (one, two, comp, named):
+        drop_table(t)
     sizes = seen.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("id", "digest", "rid")).alias("least"), F.count(F.lit(1)).alias("class_size"))
     result = join_groups(seen, table(sizes.where("class_size > 1").withColumn("n", F.col("class_size")), "sizes"), "class", how="left")
     alone = F.col("class_size").isNull()
