@@ -37,8 +37,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Radix partitioning from the most significant end: a round splits every open group by the next
     bytes of its texts (64, then 256, 1024, ... of them, so a text of n bytes takes log4(n) rounds).
-    A group that is a single row or whose texts have ended is done; only the others go on, with the
-    bytes that no round has read yet. Bytes are compared themselves; the digest is only output.
+    A group that is a single row or whose texts have ended is done; only the others go on, and a
+    round sends its own digit of them: the texts stay in one table. Bytes are compared themselves; the digest is only output.
     Only a partial count a task is sent for a digit. Rows find their group by a join in which a group of more
     than a task's even share of the open rows is dealt out over several tasks, so that a digit which a
     third of the rows share makes no large task.
@@ -74,36 +74,36 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     single = first.where("node IS NULL").select(*keep, *own)
     done = [single.select(*keep, *own, F.col("id").alias("keep_id"), F.col("rid").alias("keep_rid"), F.lit(1).cast("long").alias("group_size"))]
     now, width, rounds = first.where("node IS NOT NULL"), FIRST_DIGIT, []
-    if sent:
-        # what the first round reads is in the payload
-        whole = F.translate(F.coalesce(F.col("payload")[text_col].cast("string"), F.lit("")), UPPER, LOWER).cast("binary")
-        now = now.withColumn("rest", F.substring(whole, FIRST_DIGIT + 1, 2147483647))
+    # the texts stay where they are too: a round sends its own digit of them and no more
+    whole = F.translate(F.coalesce(F.col("payload")[text_col].cast("string"), F.lit("")), UPPER, LOWER).cast("binary") if sent else None
+    rest, at = (whole, FIRST_DIGIT) if sent else (F.col("rest"), 0)
+    texts = first.where("node IS NOT NULL")
     while True:
         groups = table(now.groupBy("node", "digit").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("id", "rid")).alias("top")), f"groups{width}")
-        split = join_groups(now, groups, "node", "digit")
+        split = join_groups(now.select(*keep, "node", "digit"), groups, "node", "digit")
         ended = (F.col("n") == 1) | (F.length("digit") < width)
-        # the digit that is read next and what stays behind it
-        after = width * GROWTH
         nxt = split.select(
             *keep,
             F.col("top.id").alias("keep_id"),
             F.col("top.rid").alias("keep_rid"),
             F.col("n").alias("group_size"),
             F.when(~ended, F.col("top.rid")).alias("node"),
-            F.when(~ended, F.substring("rest", 1, after)).alias("digit"),
-            F.when(~ended, F.substring(F.col("rest"), after + 1, 2147483647)).alias("rest"),
         )
         nxt = table(nxt, f"radix{width}")
         drop_table(groups)
         rounds.append(nxt)
-        done.append(nxt.where("node IS NULL").drop("node", "digit", "rest"))
-        now, width = nxt.where("node IS NOT NULL"), after
-        if now.isEmpty():
+        done.append(nxt.where("node IS NULL").drop("node"))
+        width *= GROWTH
+        on = nxt.where("node IS NOT NULL").select(*keep, "node")
+        if on.isEmpty():
             break
+        now = table(on.join(texts.select("rid", F.substring(rest, at + 1, width).alias("digit")), "rid"), f"digits{width}")
+        rounds.append(now)
+        at += width
     split = done[1]
     for d in done[2:]:
         split = split.unionByName(d)
-    # the rounds' tables hold what was left of the texts; only the groups stay
+    # the rounds' tables hold digits of the texts; only the groups stay
     split = table(split, "groups")
     for t in rounds:
         drop_table(t)
