@@ -63,6 +63,14 @@ def test_exact_dedup(docs):
     assert kept.columns == docs.columns and kept.count() == len(groups)
 
 
+def test_exact_dedup_with_full_bits(docs, monkeypatch):
+    monkeypatch.setattr(radix_dedup, "_repeated", lambda heads: np.full((1 << radix_dedup.SPOT_BITS) // 8, 255, np.uint8))
+    every = {tuple(r) for r in radix_dedup.exact_dedup(docs).collect()}
+    monkeypatch.undo()
+    monkeypatch.setattr(radix_dedup, "SPOT_BITS", 15)
+    assert every == {tuple(r) for r in radix_dedup.exact_dedup(docs).collect()}
+
+
 def test_substring_dedup(docs):
     got = {(r.doc_id, r.n_words): r for r in recompression.substring_dedup(docs).collect()}
     rows = sorted({(r[0], r[1]) for r in documents()}, key=lambda r: (-1 if r[0] is None else r[0], r[1] or ""))
