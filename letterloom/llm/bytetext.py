@@ -120,11 +120,28 @@ def digest(raw: bytes | memoryview) -> bytes:
 
 
 def equal_spans(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Whether a and b hold the same ``size`` bytes from these places on, for each pair of places."""
+    """Whether a and b hold the same ``size`` bytes from these places on, for each pair of places. Both have
+    eight bytes to spare behind all spans."""
+    one, other = (np.ndarray((len(x) - 7,), "<u8", x, strides=(1,)) for x in (a, b))
+    same, live = np.ones(len(size), bool), np.arange(len(size))
+    for at in range(0, LANES, 8):
+        live = live[size[live] > at]
+        if not len(live):
+            return same
+        unused = U64(8) * (8 - np.minimum(size[live] - at, 8)).astype(U64)
+        same[live] &= (one[a_at[live] + at] ^ other[b_at[live] + at]) << unused == 0
+    for k in live[size[live] > LANES].tolist():
+        same[k] = np.array_equal(a[a_at[k] : a_at[k] + size[k]], b[b_at[k] : b_at[k] + size[k]])
+    return same
+
+
+def spaced_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all spans one after another, each with a space behind it, and where each one's space ends."""
+    size = ends - starts + 1
     stop = np.cumsum(size)
-    step = np.arange(stop[-1] if len(stop) else 0) - np.repeat(stop - size, size)
-    differ = np.concatenate([[0], np.cumsum(a[np.repeat(a_at, size) + step] != b[np.repeat(b_at, size) + step])])
-    return differ[stop] == differ[stop - size]
+    raw = data.take(np.arange(stop[-1]) - np.repeat(stop - size - starts, size), mode="clip")
+    raw[stop - 1] = 32
+    return raw, stop
 
 
 def joined_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, of: np.ndarray, keep: np.ndarray | None = None) -> tuple[bytes, list[int], np.ndarray]:

@@ -3,21 +3,37 @@
 from __future__ import annotations
 
 import bisect
+import os
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bytetext import Hasher, equal_spans, pieces, utf8
+from .bytetext import Hasher, equal_spans, pieces, spaced_spans, utf8
 from .common import need, table
 
 END_ID = 1
-#: Distinct runs of letters or marks whose ids a task remembers, about.
-KNOWN_WORDS = 1 << 20
+#: Distinct runs of letters or marks whose ids a worker remembers, about, and the bytes of a run among them, on average.
+KNOWN_WORDS, KNOWN_BYTES = 1 << 20, 16
+#: Runs that go to the tokenizer in one text.
+JOINED = 200
+
+
+def _grown(kept: np.ndarray, n: int, more: np.ndarray, spare: int = 0) -> np.ndarray:
+    """The first ``n`` of ``kept`` and ``more`` behind them, in room that doubles, with some to spare."""
+    least = n + len(more) + spare
+    if least > len(kept):
+        room = np.zeros(max(2 * len(kept), least), kept.dtype)
+        room[:n] = kept[:n]
+        kept = room
+    kept[n : n + len(more)] = more
+    return kept
 
 
 class WordTokens:
@@ -26,13 +42,11 @@ class WordTokens:
     For tokenizers that drop white space and split a word at least into its runs of letters and of
     ASCII marks. Units are those runs, or a whole word where it holds what may be split in other ways
     (digits, apostrophes, special tokens' marks, letters beyond Latin). Each distinct unit of a chunk
-    is tokenized once, all runs in one text, and a task remembers some. Units are found by their hash
+    is tokenized once, runs many to a text, and is remembered up to a bound. Units are found by their hash
     and compared byte by byte; one that only has the hash of another is tokenized on its own.
     """
 
     def __init__(self, path: str) -> None:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -41,98 +55,140 @@ class WordTokens:
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.h = Hasher()
-        self.letter, self.odd = np.zeros(256, bool), np.zeros(256, bool)
-        self.letter[97:123] = self.letter[65:91] = self.letter[128:] = True
+        # white space, marks and letters: 3 is what only a mark beside a letter gives by exclusive or
+        self.kind, self.odd = np.where(self.h.space, 0, 1).astype(np.uint8), np.zeros(256, bool)
+        self.kind[97:123] = self.kind[65:91] = self.kind[128:] = 2
         self.odd[:9] = self.odd[14:32] = self.odd[48:58] = self.odd[0xC6:] = True
         self.odd[[0xC2, 127, *b"'<|"]] = True
         self.forget()
 
     def forget(self) -> None:
-        self.key, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
-        self.text, self.text_at, self.text_size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        #: Numbers of units plus one, at their hash or the next free place behind it.
+        self.table = np.zeros(1 << 16, np.int32)
+        self.n, self.n_ids, self.n_bytes = 0, 0, 0
+        self.key, self.flat, self.text = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(8, np.uint8)
+        self.begin, self.size, self.text_at, self.text_size = (np.zeros(0, np.int64) for _ in range(4))
 
     def units(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends, whether they are runs, and the rows' offsets."""
-        starts, ends, of = self.h.words(data, at)
+        starts, ends, _ = self.h.words(data, at)
         odd = self.odd[data]
         # multiplication and division signs and the dotted capital I
-        after = np.append(data[1:], 0)
-        odd |= (data == 0xC3) & ((after == 0x97) | (after == 0xB7)) | (data == 0xC4) & (after == 0xB0)
-        total = np.concatenate([[0], np.cumsum(odd)])
+        odd[:-1] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)) | (data[:-1] == 0xC4) & (data[1:] == 0xB0)
+        total = np.zeros(len(data) + 1, np.int64)
+        np.cumsum(odd, out=total[1:])
         whole = total[ends] > total[starts]
-        edge = np.zeros(len(data) + 1, np.int8)
-        edge[starts[whole]] += 1
-        edge[ends[whole]] -= 1
-        solid = np.cumsum(edge[:-1], dtype=np.int8) > 0
-        letter, space = self.letter[data], self.h.space[data]
-        cut = np.zeros(len(data), bool)
-        cut[1:] = (letter[1:] != letter[:-1]) & ~space[1:] & ~space[:-1] & ~solid[1:]
-        cut[starts] = True
+        kind, cut, opens = self.kind[data], np.zeros(len(data), bool), np.zeros(len(data), bool)
+        cut[1:] = kind[1:] ^ kind[:-1] == 3
+        cut[starts] = opens[starts] = True
         begin = np.flatnonzero(cut)
-        word = np.searchsorted(starts, begin, "right") - 1
+        first = opens[begin]
+        word = np.cumsum(first) - 1
+        kept = first | ~whole[word]
+        begin, word = begin[kept], word[kept]
         stop = np.minimum(np.append(begin[1:], len(data)), ends[word])
         return begin, stop, ~whole[word], np.searchsorted(begin, at)
 
-    def encode(self, runs: list[str], words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all runs, then of all words, and how many each has."""
+    def find(self, value: np.ndarray) -> np.ndarray:
+        """The number of the unit with that hash, for each; -1 where there is none."""
+        mask = np.uint64(len(self.table) - 1)
+        place = (value & mask).astype(np.int64)
+        number = self.table[place] - 1
+        live = np.flatnonzero(number >= 0)
+        while len(live := live[self.key[number[live]] != value[live]]):
+            place[live] = (place[live] + 1) & int(mask)
+            number[live] = self.table[place[live]] - 1
+            live = live[number[live] >= 0]
+        return number
+
+    def place(self, first: int) -> None:
+        """Puts the units from number ``first`` on into the table, which at most half fills."""
+        if 2 * self.n > len(self.table):
+            self.table, first = np.zeros(1 << (4 * self.n).bit_length(), np.int32), 0
+        mask = len(self.table) - 1
+        number = np.arange(first, self.n, dtype=np.int32) + 1
+        place = (self.key[first : self.n] & np.uint64(mask)).astype(np.int64)
+        while len(number):
+            free = self.table[place] == 0
+            # of several at one free place the last stays
+            self.table[place[free]] = number[free]
+            left = self.table[place] != number
+            number, place = number[left], (place[left] + 1) & mask
+
+    def encode(self, raw: bytes, stop: np.ndarray, runs: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units, one after another, and how many each has. A unit ends with a space, at ``stop``; ``runs`` of them are runs, which come first."""
         ids, sizes = [], []
+        of = lambda at: [e.ids for e in self.tokenizer.encode_batch_fast([raw[i : j - 1].decode() for i, j in pairwise(at)], add_special_tokens=False)]
+        at = [0, *stop.tolist()]
         if runs:
-            got = np.array(self.tokenizer.encode(" ".join(runs), add_special_tokens=False).ids, np.uint32)
+            got = np.concatenate([np.array(x, np.uint32) for x in of([*at[:runs:JOINED], at[runs]])])
             close = np.flatnonzero(self.closes[got])
-            if len(close) == len(runs):
+            if len(close) == runs:
                 ids, sizes = [got], [np.diff(np.append(-1, close))]
             else:
-                words, runs = runs + words, []
-        if words:
-            each = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+                runs = 0
+        if len(stop) > runs:
+            each = of(at[runs:])
             ids.append(np.array([i for e in each for i in e], np.uint32))
             sizes.append(np.array([len(e) for e in each]))
         return np.concatenate(ids), np.concatenate(sizes)
 
+    def learn(self, value: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, run: np.ndarray) -> np.ndarray:
+        """Remembers units, of which the first of those with one hash counts, and gives the numbers of all."""
+        _, first, inverse = np.unique(value, return_index=True, return_inverse=True)
+        order = np.argsort(~run[first], kind="stable")
+        number = np.empty(len(first), np.int64)
+        number[order] = np.arange(self.n, self.n + len(first))
+        new = first[order]
+        raw, stop = spaced_spans(data, starts[new], ends[new])
+        ids, size = self.encode(raw.tobytes(), stop, int(run[new].sum()))
+        before, long = self.n, ends[new] - starts[new]
+        for name, more in (("key", value[new]), ("begin", np.cumsum(size) - size + self.n_ids), ("size", size), ("text_at", stop - long - 1 + self.n_bytes), ("text_size", long)):
+            setattr(self, name, _grown(getattr(self, name), before, more))
+        self.flat, self.text = _grown(self.flat, self.n_ids, ids), _grown(self.text, self.n_bytes, raw, 8)
+        self.n, self.n_ids, self.n_bytes = before + len(new), self.n_ids + len(ids), self.n_bytes + len(raw)
+        self.place(before)
+        return number[inverse]
+
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the texts' offsets in them."""
         data, at = utf8(texts)
         starts, ends, run, of = self.units(data, at)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
-        value, first, inverse = np.unique(self.h.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.key) > KNOWN_WORDS:
+        value = self.h.word_hashes(data, starts, ends)
+        if self.n > KNOWN_WORDS or self.n_bytes > KNOWN_BYTES * KNOWN_WORDS:
             self.forget()
-        raw, long = data.tobytes(), ends - starts
-        text = lambda units: [raw[i:j].decode() for i, j in zip(starts[units].tolist(), ends[units].tolist(), strict=True)]
-        place = np.searchsorted(self.key, value)
-        known = self.key[np.minimum(place, len(self.key) - 1)] == value if len(self.key) else np.zeros(len(value), bool)
-        new = np.flatnonzero(~known)
+        of_unit, long = self.find(value), ends - starts
+        new = np.flatnonzero(of_unit < 0)
         if len(new):
-            new = np.concatenate([new[run[first[new]]], new[~run[first[new]]]])
-            n_runs = int(run[first[new]].sum())
-            ids, size = self.encode(text(first[new[:n_runs]]), text(first[new[n_runs:]]))
-            order = np.argsort(new)
-            where = place[new][order]
-            begin = np.cumsum(size) - size + len(self.flat)
-            at_text = np.cumsum(long[first[new]]) - long[first[new]] + len(self.text)
-            self.key = np.insert(self.key, where, value[new][order])
-            self.begin, self.size = np.insert(self.begin, where, begin[order]), np.insert(self.size, where, size[order])
-            self.text_at, self.text_size = np.insert(self.text_at, where, at_text[order]), np.insert(self.text_size, where, long[first[new]][order])
-            self.flat = np.concatenate([self.flat, ids])
-            self.text = np.concatenate([self.text, np.frombuffer(b"".join(raw[starts[u] : ends[u]] for u in first[new].tolist()), np.uint8)])
-            place = np.searchsorted(self.key, value)
+            of_unit[new] = self.learn(value[new], data, starts[new], ends[new], run[new])
         # the same bytes as what the hash stands for
-        of_unit = place[inverse]
         same = long == self.text_size[of_unit]
-        same[same] = equal_spans(data, starts[same], self.text, self.text_at[of_unit[same]], long[same])
+        same[same] = equal_spans(np.append(data, np.zeros(8, np.uint8)), starts[same], self.text, self.text_at[of_unit[same]], long[same])
         flat, begin, n = self.flat, self.begin[of_unit], self.size[of_unit]
         apart = np.flatnonzero(~same)
         if len(apart):
-            ids, size = self.encode([], text(apart))
-            begin[apart], n[apart] = np.cumsum(size) - size + len(flat), size
-            flat = np.concatenate([flat, ids])
+            raw, stop = spaced_spans(data, starts[apart], ends[apart])
+            ids, size = self.encode(raw.tobytes(), stop, 0)
+            begin[apart], n[apart] = np.cumsum(size) - size + self.n_ids, size
+            flat = np.concatenate([flat[: self.n_ids], ids])
         stop = np.concatenate([[0], np.cumsum(n)])
         index = np.arange(stop[-1]) - np.repeat(stop[:-1] - begin, n)
         return flat[index], stop[of]
 
 
+@lru_cache(maxsize=1)
+def _kept_tokens(path: str, changed: int, size: int) -> WordTokens:
+    return WordTokens(path)
+
+
+def worker_tokens(path: str) -> WordTokens:
+    """The tokenizer of that file with all that this process knows of it: a worker's next task does not begin anew."""
+    now = os.stat(path)
+    return _kept_tokens(path, now.st_mtime_ns, now.st_size)
+
+
 def _tokenize(path: str, most: int, with_ids: bool) -> Callable:
     """Rows of pieces: their place in the document, digest and number among the task's pieces of that length."""
 
@@ -140,7 +196,7 @@ def _tokenize(path: str, most: int, with_ids: bool) -> Callable:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        tokens, seen = WordTokens(path), np.zeros(most + 1, np.int64)
+        tokens, seen = worker_tokens(path), np.zeros(most + 1, np.int64)
         for whole in batches:
             for batch in pieces(whole, "text"):
                 ids, at = tokens.ids(batch.column("text"))

@@ -594,3 +594,51 @@ def test_pipeline_keeps_what_it_should(spark):
         docs = out
     assert docs.groupBy("text").count().where("count > 2").count() == 0
     assert c.STAGES[-1][1](spark, docs, sf).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+def test_a_worker_tokenizes_a_word_once(monkeypatch):
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    class Task:
+        def partitionId(self):
+            return 0
+
+    monkeypatch.setattr(TaskContext, "get", lambda: Task())
+    sent, real = [], packing.WordTokens.encode
+    monkeypatch.setattr(packing.WordTokens, "encode", lambda self, *units: sent.append(units) or real(self, *units))
+    batch = pa.RecordBatch.from_pydict({"id": [1, 2, 3], "text": ["onceonly, seenbefore 4.5", None, "seenbefore onceonly!"]})
+    task = lambda: [r for b in packing._tokenize(tokenizer_path(), 4, True)(iter([batch])) for r in b.to_pylist()]
+    first, n = task(), len(sent)
+    assert n and task() == first and len(sent) == n
+
+
+def test_units_are_found_again_as_the_table_grows_and_is_forgotten(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdeé", k=rng.randint(6, 9))) for _ in range(60_000)] + ["x" * 90 + c for c in "ab"] + [f"{i}'s" for i in range(300)]
+    texts = [" ".join(rng.choices(words, k=3000)) for _ in range(40)]
+    w = packing.WordTokens(tokenizer_path())
+    want = [w.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+    for known, most_bytes, grown in ((1 << 20, 16, True), (1 << 13, 16, False), (1 << 20, 0.05, False)):
+        monkeypatch.setattr(packing, "KNOWN_WORDS", known)
+        monkeypatch.setattr(packing, "KNOWN_BYTES", most_bytes)
+        w.forget()
+        for k in range(0, len(texts), 2):
+            ids, at = w.ids(pa.array(texts[k : k + 2]))
+            assert [ids[at[i] : at[i + 1]].tolist() for i in (0, 1)] == want[k : k + 2]
+        assert (len(w.table) > 1 << 16) == grown
+
+
+def test_spans_that_differ_in_one_byte():
+    from letterloom.llm.bytetext import equal_spans
+
+    data = np.random.default_rng(3).integers(0, 256, 300).astype(np.uint8)
+    for size in (0, 1, 7, 8, 9, 63, 64, 65, 200):
+        at = np.array([5])
+        assert equal_spans(data, at, data.copy(), at, np.array([size])).all()
+        for k in range(300 - 8):
+            other = data.copy()
+            other[k] ^= 128
+            assert equal_spans(data, at, other, at, np.array([size]))[0] == (not 5 <= k < 5 + size)
