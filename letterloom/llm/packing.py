@@ -23,13 +23,15 @@ END_ID = 1
 KNOWN_WORDS, KNOWN_BYTES = 1 << 20, 16
 #: Runs that go to the tokenizer in one text.
 JOINED = 200
+#: Bytes of text that a worker looks at together, about: what it needs meanwhile is many times as much.
+LOOKED_AT = 1 << 18
 
 
 def _grown(kept: np.ndarray, n: int, more: np.ndarray, spare: int = 0) -> np.ndarray:
-    """The first ``n`` of ``kept`` and ``more`` behind them, in room that doubles, with some to spare."""
+    """The first ``n`` of ``kept`` and ``more`` behind them, in room that grows by a quarter, with some to spare."""
     least = n + len(more) + spare
     if least > len(kept):
-        room = np.zeros(max(2 * len(kept), least), kept.dtype)
+        room = np.zeros(max(5 * len(kept) // 4, least), kept.dtype)
         room[:n] = kept[:n]
         kept = room
     kept[n : n + len(more)] = more
@@ -53,6 +55,7 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.id_type = np.min_scalar_type(len(self.closes) - 1)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.h = Hasher()
         # white space, marks and letters: 3 is what only a mark beside a letter gives by exclusive or
@@ -66,8 +69,9 @@ class WordTokens:
         #: Numbers of units plus one, at their hash or the next free place behind it.
         self.table = np.zeros(1 << 16, np.int32)
         self.n, self.n_ids, self.n_bytes = 0, 0, 0
-        self.key, self.flat, self.text = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(8, np.uint8)
-        self.begin, self.size, self.text_at, self.text_size = (np.zeros(0, np.int64) for _ in range(4))
+        self.key, self.flat, self.text = np.zeros(0, np.uint64), np.zeros(0, self.id_type), np.zeros(8, np.uint8)
+        #: Where a unit's ids and its bytes, with a space behind them, begin; the next unit's begin where they end.
+        self.begin, self.text_at = np.zeros(1, np.int64), np.zeros(1, np.int64)
 
     def units(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends, whether they are runs, and the rows' offsets."""
@@ -104,7 +108,7 @@ class WordTokens:
     def place(self, first: int) -> None:
         """Puts the units from number ``first`` on into the table, which at most half fills."""
         if 2 * self.n > len(self.table):
-            self.table, first = np.zeros(1 << (4 * self.n).bit_length(), np.int32), 0
+            self.table, first = np.zeros(1 << (2 * self.n).bit_length(), np.int32), 0
         mask = len(self.table) - 1
         number = np.arange(first, self.n, dtype=np.int32) + 1
         place = (self.key[first : self.n] & np.uint64(mask)).astype(np.int64)
@@ -142,9 +146,9 @@ class WordTokens:
         new = first[order]
         raw, stop = spaced_spans(data, starts[new], ends[new])
         ids, size = self.encode(raw.tobytes(), stop, int(run[new].sum()))
-        before, long = self.n, ends[new] - starts[new]
-        for name, more in (("key", value[new]), ("begin", np.cumsum(size) - size + self.n_ids), ("size", size), ("text_at", stop - long - 1 + self.n_bytes), ("text_size", long)):
-            setattr(self, name, _grown(getattr(self, name), before, more))
+        before = self.n
+        self.key = _grown(self.key, before, value[new])
+        self.begin, self.text_at = _grown(self.begin, before + 1, np.cumsum(size) + self.n_ids), _grown(self.text_at, before + 1, stop + self.n_bytes)
         self.flat, self.text = _grown(self.flat, self.n_ids, ids), _grown(self.text, self.n_bytes, raw, 8)
         self.n, self.n_ids, self.n_bytes = before + len(new), self.n_ids + len(ids), self.n_bytes + len(raw)
         self.place(before)
@@ -164,9 +168,10 @@ class WordTokens:
         if len(new):
             of_unit[new] = self.learn(value[new], data, starts[new], ends[new], run[new])
         # the same bytes as what the hash stands for
-        same = long == self.text_size[of_unit]
+        same = long == self.text_at[of_unit + 1] - self.text_at[of_unit] - 1
         same[same] = equal_spans(np.append(data, np.zeros(8, np.uint8)), starts[same], self.text, self.text_at[of_unit[same]], long[same])
-        flat, begin, n = self.flat, self.begin[of_unit], self.size[of_unit]
+        flat, begin = self.flat, self.begin[of_unit]
+        n = self.begin[of_unit + 1] - begin
         apart = np.flatnonzero(~same)
         if len(apart):
             raw, stop = spaced_spans(data, starts[apart], ends[apart])
@@ -198,7 +203,7 @@ def _tokenize(path: str, most: int, with_ids: bool) -> Callable:
         part = TaskContext.get().partitionId()
         tokens, seen = worker_tokens(path), np.zeros(most + 1, np.int64)
         for whole in batches:
-            for batch in pieces(whole, "text"):
+            for batch in pieces(whole, "text", LOOKED_AT):
                 ids, at = tokens.ids(batch.column("text"))
                 total = np.diff(at) + 1
                 n = -(-total // most)

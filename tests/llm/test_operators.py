@@ -631,6 +631,31 @@ def test_units_are_found_again_as_the_table_grows_and_is_forgotten(monkeypatch):
         assert (len(w.table) > 1 << 16) == grown
 
 
+def test_a_worker_holds_little_for_a_word_and_looks_at_little_text_together(monkeypatch):
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    class Task:
+        def partitionId(self):
+            return 0
+
+    monkeypatch.setattr(TaskContext, "get", lambda: Task())
+    rng = random.Random(13)
+    texts = [" ".join("".join(rng.choices("abcdeé", k=rng.randint(6, 9))) for _ in range(200)) for _ in range(1000)]
+    w, seen, real = packing.worker_tokens(tokenizer_path()), [], packing.WordTokens.ids
+    monkeypatch.setattr(packing.WordTokens, "ids", lambda self, column: seen.append(pa.compute.sum(pa.compute.binary_length(column)).as_py()) or real(self, column))
+    w.forget()
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "text": texts})
+    got = [r for b in packing._tokenize(tokenizer_path(), 4096, True)(iter([batch])) for r in b.to_pylist()]
+    for r in got[::50]:
+        assert r["ids"] == [*w.tokenizer.encode(texts[r["id"]], add_special_tokens=False).ids, 1]
+    assert [r["id"] for r in got] == batch.column("id").to_pylist()
+    held = sum(x.nbytes for k, x in vars(w).items() if isinstance(x, np.ndarray) and k not in ("kind", "odd", "closes"))
+    # a hash, two places, a share of the table, the bytes of the word and about four ids, with a quarter to spare
+    assert w.n > 100_000 and held < 80 * w.n
+    assert sum(seen) == sum(len(x.encode()) for x in texts) and max(seen) <= 1 << 18
+
+
 def test_spans_that_differ_in_one_byte():
     from letterloom.llm.bytetext import equal_spans
 
