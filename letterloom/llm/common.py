@@ -22,6 +22,24 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Bytes of the tables it is made from that a file of few_files stands for, and the files a core that there may be in any case.
+FILE_BYTES, FILES_A_CORE = 1 << 24, 2
+
+
+def few_files(df: DataFrame) -> DataFrame:
+    """``df`` in no more partitions than its size calls for. Hadoop's local files start a process for each file that a
+    task writes and for its checksum (chmod), and until that runs its own program it shows all of the executor's memory
+    as its own; a partition for each of many shuffle partitions makes thousands of them.
+
+    The tables that ``df`` is made from tell the size, so partitions grow in number with the input; where
+    no size is known all stay. Not for rows that come from Python or that a task numbers by itself."""
+    spark = df.sparkSession
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    made_from = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    most = max(FILES_A_CORE * spark.sparkContext.defaultParallelism, -(-made_from // FILE_BYTES))
+    return df.coalesce(most) if most < 1 << 31 else df
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it again: lineage ends here, and a lost
     executor costs no more than the tasks that it ran."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytetext import U64, WORD_P, Hasher, digest, joined_words, mix, pieces, utf8
-from .common import drop_table, join_groups, need, table
+from .common import drop_table, few_files, join_groups, need, table
 
 #: Shingles of a bucket's nodes that meet as many others in one task, about: some megabytes of text. A
 #: longer text is alone.
@@ -206,7 +206,7 @@ def _in_blocks(left: DataFrame, texts: DataFrame, size: int, least: float) -> Da
     stats = mine.groupBy("bucket").agg(F.sum("k").alias("n"), F.max(F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"))
     stats = stats.where("comps > 1").select("bucket", "n", F.col("main.comp").alias("main"), (F.col("n") - F.col("main.k")).alias("asking"))
     rows = left.select("bucket", "node", "comp", "weight").join(stats, "bucket").withColumn("asks", F.col("comp") != F.col("main"))
-    rows = table(rows.join(texts, "node").select("bucket", "node", "comp", "weight", "n", "asking", "asks", "text"), "open")
+    rows = table(few_files(rows.join(texts, "node").select("bucket", "node", "comp", "weight", "n", "asking", "asks", "text")), "open")
     small = F.col("n") <= BLOCK
     bins = max((rows.where(small).agg(F.sum("weight")).first()[0] or 0) // BLOCK, 1)
     whole = rows.where(small).select(F.struct(F.pmod(F.xxhash64("bucket"), F.lit(bins)).alias("x"), F.lit(-1).cast("long").alias("y"), F.lit(-1).cast("long").alias("z")).alias("grp"), "bucket", "node", "comp", "asks", F.lit(True).alias("answers"), "text")
@@ -223,13 +223,13 @@ def _in_blocks(left: DataFrame, texts: DataFrame, size: int, least: float) -> Da
 def components(edges: DataFrame) -> DataFrame:
     """Connected components (node, comp: the least node) of edges (a, b), by least labels of
     neighbours and pointer jumping: as many rounds as the logarithm of the longest path."""
-    both = table(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "links")
-    now = table(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).withColumnRenamed("a", "node"), "labels")
+    both = table(few_files(edges.select("a", "b").union(edges.select("b", "a")).distinct()), "links")
+    now = table(few_files(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).withColumnRenamed("a", "node")), "labels")
     while True:
         near = both.join(now.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("comp").alias("near"))
         step = now.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
         jump = step.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
-        nxt = table(step.join(jump, "comp").select("node", "old", F.least("comp", "far").alias("comp")), "labels")
+        nxt = table(few_files(step.join(jump, "comp").select("node", "old", F.least("comp", "far").alias("comp"))), "labels")
         changed = not nxt.where("old <> comp").isEmpty()
         drop_table(now)
         now = nxt
@@ -267,10 +267,10 @@ def near_duplicates(
     schema = rows.drop("text").schema.add("digest", "binary").add("weight", "long").add("bands", T.ArrayType(T.LongType()))
     sketch = table(rows.mapInArrow(_sketch(shingle_words, bands, rows_per_band), schema), "sketch")
     nodes = sketch.where("digest IS NOT NULL").groupBy("digest").agg(F.first("weight").alias("weight"), F.first("bands").alias("bands"), F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
-    nodes = table(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    nodes = table(few_files(nodes.withColumn("node", F.monotonically_increasing_id())), "nodes")
     member = nodes.select("node", "weight", F.explode("bands").alias("bucket"))
     shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    member = table(member.join(shared, "bucket").select("bucket", "node", "weight"), "buckets")
+    member = table(few_files(member.join(shared, "bucket").select("bucket", "node", "weight")), "buckets")
     # one text for each node that meets another
     if payload and text_col in payload:
         named = sketch.where("digest IS NOT NULL").select("id", "digest", F.coalesce(F.col("payload")[text_col].cast("string"), F.lit("")).alias("text"))
@@ -296,14 +296,14 @@ def near_duplicates(
     joined = components(two.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")).distinct()).select("node", "comp")
     alone = joined.select("node").join(comp, "node", "left_anti").select("node", F.col("node").alias("comp"))
     wider = joined.select(F.col("node").alias("comp"), F.col("comp").alias("wider"))
-    comp = table(comp.union(alone).join(wider, "comp", "left").select("node", F.coalesce("wider", "comp").alias("comp")), "components")
-    named = table(nodes.select("digest", "node", "n").join(comp, "node", "left").select("digest", F.coalesce("comp", "node").alias("class"), "n"), "classes")
+    comp = table(few_files(comp.union(alone).join(wider, "comp", "left").select("node", F.coalesce("wider", "comp").alias("comp"))), "components")
+    named = table(few_files(nodes.select("digest", "node", "n").join(comp, "node", "left").select("digest", F.coalesce("comp", "node").alias("class"), "n")), "classes")
     drop_table(nodes)
-    seen = table(join_groups(sketch.select("id", "digest", "rid"), named, "digest", how="left").drop("n"), "near")
+    seen = table(few_files(join_groups(sketch.select("id", "digest", "rid"), named, "digest", how="left").drop("n")), "near")
     for t in (one, two, comp, named):
         drop_table(t)
     sizes = seen.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("id", "digest", "rid")).alias("least"), F.count(F.lit(1)).alias("class_size"))
-    result = join_groups(seen, table(sizes.where("class_size > 1").withColumn("n", F.col("class_size")), "sizes"), "class", how="left")
+    result = join_groups(seen, table(few_files(sizes.where("class_size > 1").withColumn("n", F.col("class_size"))), "sizes"), "class", how="left")
     alone = F.col("class_size").isNull()
     result = result.select(
         "rid",
@@ -312,7 +312,7 @@ def near_duplicates(
         F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"),
         (alone | F.coalesce(F.col("rid") == F.col("least.rid"), F.lit(False))).alias("kept"),
     )
-    return (result.join(sketch.select("rid", "payload"), "rid") if payload else result).drop("rid")
+    return few_files((result.join(sketch.select("rid", "payload"), "rid") if payload else result).drop("rid"))
 
 
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, drop_table, need, table
+from .common import WORD, drop_table, few_files, need, table
 
 EPS = 1e-9
 
@@ -18,14 +18,14 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, m
     Sources are ranked by a range partitioning and the partitions' offsets, not in one task."""
     order = F.col("source").asc_nulls_last()
     parts = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = table(sizes.repartitionByRange(parts, order).withColumn("part", F.spark_partition_id()), "sources")
+    ranged = table(few_files(sizes.repartitionByRange(parts, order).withColumn("part", F.spark_partition_id())), "sources")
     before = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     # one row a partition of the range
     before = before.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     rank = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1 + F.col("before")
     cycle = F.array(*(F.lit(float(w)) for w in weights))
     ranked = ranged.join(before, "part").withColumn("weight", F.get(cycle, (rank % len(weights)).cast("int")))
-    ranked = table(ranked.drop("part", "before").withColumn("cap", F.col("source_size") * F.lit(float(most))), "weights")
+    ranked = table(few_files(ranked.drop("part", "before").withColumn("cap", F.col("source_size") * F.lit(float(most)))), "weights")
     total = ranked.agg(F.sum("source_size")).first()[0] or 0
     level, capped = None, -1
     while True:
@@ -71,7 +71,7 @@ def _flips(rows: DataFrame, error: DataFrame, rounds: int = 4) -> DataFrame:
     side or from this one; what the nearest of all rounds had is returned. Rows of one source, copy
     and size are alike, so one of them stands for all and what is searched grows with the number of
     sizes, not of documents. The state is one row a source."""
-    kinds = table(rows.groupBy("skey", "copy", "size").agg(F.min(F.struct("id", "rid")).alias("row")), "kinds")
+    kinds = table(few_files(rows.groupBy("skey", "copy", "size").agg(F.min(F.struct("id", "rid")).alias("row"))), "kinds")
     flip = F.struct(F.col("best.row.rid").alias("rid"), (1 - 2 * F.col("best.copy")).alias("flip"))
     none = F.array().cast("array<struct<rid: bigint, flip: int>>")
     now = table(error.select("skey", "e", none.alias("used"), F.struct(F.abs("e").alias("far"), none.alias("used")).alias("nearest")), "flips")
@@ -82,7 +82,7 @@ def _flips(rows: DataFrame, error: DataFrame, rounds: int = 4) -> DataFrame:
         best = best.groupBy("skey").agg(F.min(F.struct(F.abs(after).alias("far"), "size", "copy", "row", after.alias("e"))).alias("best"))
         moved = F.col("best").isNotNull()
         nxt = now.join(best, "skey", "left").select("skey", F.when(moved, F.col("best.e")).otherwise(F.col("e")).alias("e"), F.when(moved, F.array_append("used", flip)).otherwise(F.col("used")).alias("used"), "nearest")
-        nxt = table(nxt.withColumn("nearest", F.least("nearest", F.struct(F.abs("e").alias("far"), F.col("used").alias("used")))), "flips")
+        nxt = table(few_files(nxt.withColumn("nearest", F.least("nearest", F.struct(F.abs("e").alias("far"), F.col("used").alias("used"))))), "flips")
         drop_table(now)
         now = nxt
     drop_table(kinds)
@@ -127,7 +127,7 @@ def mix_sources(
     )
     rows = table(rows, "sizes")
     sizes = rows.groupBy("skey").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count(F.when(F.col("size") > 0, 1)).alias("n"))
-    targets = table(source_targets(sizes, weights, share, most), "targets").select("skey", "source_size", "target", "n")
+    targets = table(few_files(source_targets(sizes, weights, share, most)), "targets").select("skey", "source_size", "target", "n")
     want = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
     base = F.floor(want + EPS)
     frac = F.when((F.col("size") > 0) & (want - base > EPS), want - base).otherwise(0.0)
@@ -155,7 +155,7 @@ def mix_sources(
         )
         ended_rows = F.transform("r.done", lambda d: F.struct(d.alias("done"), F.lit(None).cast(item).alias("carry")))
         carried = F.expr(f"if(r.carry IS NULL, cast(array() as array<struct<done: {ended}, carry: {item}>>), array(named_struct('done', cast(null as {ended}), 'carry', r.carry)))")
-        ran = table(ran.select("skey", F.explode(F.concat(ended_rows, carried)).alias("o")).select("skey", "o.*"), f"round{level}")
+        ran = table(few_files(ran.select("skey", F.explode(F.concat(ended_rows, carried)).alias("o")).select("skey", "o.*")), f"round{level}")
         left = ran.where("carry IS NOT NULL").groupBy("skey").agg(F.count(F.lit(1)).alias("n"))
         most_left = left.agg(F.max("n")).first()[0] or 0
         done.append(ran.where("carry IS NULL").select("skey", "done.*"))
@@ -172,7 +172,7 @@ def mix_sources(
     added = F.coalesce("copy", F.lit(0)) + F.coalesce("flip", F.lit(0))
     copies = F.when(F.col("size") > 0, base + added).otherwise(0).cast("long")
     out = rows.join(targets, "skey").join(extra, "rid", "left").join(flips, "rid", "left").withColumn("copies", copies)
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), *(["payload"] if payload else []))
+    return few_files(out).select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), *(["payload"] if payload else []))
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **params: object) -> DataFrame:

@@ -5,13 +5,15 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from letterloom.llm import dartminhash, langid, mixing, multi_index, packing, pii, quality, radix_dedup, recompression, toxicity
+from letterloom.llm import common, dartminhash, langid, mixing, multi_index, packing, pii, quality, radix_dedup, recompression, toxicity
 from letterloom.llm.bytetext import Hasher
 from letterloom.llm.queries import ORACLE_SQL, QUERIES, tokenizer_path
 
@@ -667,3 +669,39 @@ def test_spans_that_differ_in_one_byte():
             other = data.copy()
             other[k] ^= 128
             assert equal_spans(data, at, other, at, np.array([size]))[0] == (not 5 <= k < 5 + size)
+
+
+def test_few_files(spark, tmp_path):
+    """A table made from little is written in few files, however many shuffle partitions there are; sizes that Spark doesn't know change nothing."""
+    spark.range(5000).write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = common.table(common.few_files(rows.groupBy("id").count()), "few")
+        most = common.FILES_A_CORE * spark.sparkContext.defaultParallelism
+        assert 1 < len(got.inputFiles()) <= most
+        # ids that Spark gives to rows stay apart
+        ids = common.few_files(rows.groupBy("id").count().withColumn("rid", F.monotonically_increasing_id()))
+        assert ids.select("rid").distinct().count() == got.count() == 5000
+        assert common.few_files(spark.sparkContext.parallelize([(i,) for i in range(64)], 64).toDF("id long")).rdd.getNumPartitions() == 64
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_toxicity_worker_memory():
+    """What a worker makes to look for n-grams stays far below what pieces of 1 MB took: 57 MB more than the model and the rows."""
+    rng = np.random.default_rng(3)
+    text = ["".join(chr(97 + c) for c in rng.integers(0, 26, 4000)) for _ in range(500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array(text)], ["id", "text"])
+    gram = np.sort(rng.integers(0, 1 << 63, 4096).astype(np.uint64) * 2)
+    model = toxicity.ToxicityModel((3, 4, 5, 6), gram, np.ones(4096), 0.0)
+    tracemalloc.start()
+    try:
+        rows = sum(len(b) for b in toxicity._score(model)(iter([batch])))
+        assert rows == 500 and tracemalloc.get_traced_memory()[1] < 40_000_000
+    finally:
+        tracemalloc.stop()
