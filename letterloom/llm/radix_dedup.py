@@ -11,7 +11,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, join_groups, need, table
+from .common import drop_table, few_files, join_groups, need, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FIRST_DIGIT, GROWTH = 64, 4
@@ -98,7 +98,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest, at = (whole, FIRST_DIGIT) if sent else (F.col("rest"), 0)
     texts = first.where("node IS NOT NULL")
     while True:
-        groups = table(now.groupBy("node", "digit").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("id", "rid")).alias("top")), f"groups{width}")
+        groups = table(few_files(now.groupBy("node", "digit").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("id", "rid")).alias("top"))), f"groups{width}")
         split = join_groups(now.select(*keep, "node", "digit"), groups, "node", "digit")
         ended = (F.col("n") == 1) | (F.length("digit") < width)
         nxt = split.select(
@@ -108,7 +108,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.col("n").alias("group_size"),
             F.when(~ended, F.col("top.rid")).alias("node"),
         )
-        nxt = table(nxt, f"radix{width}")
+        nxt = table(few_files(nxt), f"radix{width}")
         drop_table(groups)
         rounds.append(nxt)
         done.append(nxt.where("node IS NULL").drop("node"))
@@ -116,22 +116,23 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         on = nxt.where("node IS NOT NULL").select(*keep, "node")
         if on.isEmpty():
             break
-        now = table(on.join(texts.select("rid", F.substring(rest, at + 1, width).alias("digit")), "rid"), f"digits{width}")
+        now = table(few_files(on.join(texts.select("rid", F.substring(rest, at + 1, width).alias("digit")), "rid")), f"digits{width}")
         rounds.append(now)
         at += width
     split = done[1]
     for d in done[2:]:
         split = split.unionByName(d)
     # the rounds' tables hold digits of the texts; only the groups stay
-    split = table(split, "groups")
+    split = table(few_files(split), "groups")
     for t in rounds:
         drop_table(t)
     if payload:
         split = split.join(first.where("node IS NOT NULL").select("rid", "payload"), "rid")
     out = done[0].unionByName(split)
-    return out.select(
+    out = out.select(
         F.col("id").alias(id_col), "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), "text_sha256", *(["payload"] if payload else [])
     )
+    return few_files(out)
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

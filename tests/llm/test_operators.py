@@ -705,3 +705,23 @@ def test_toxicity_worker_memory():
         assert rows == 500 and tracemalloc.get_traced_memory()[1] < 40_000_000
     finally:
         tracemalloc.stop()
+
+
+def test_exact_dedup_few_files(spark, tmp_path, monkeypatch):
+    """The tables of a round have few files, however many shuffle partitions there are."""
+    rows = spark.range(600).select(F.col("id").alias("doc_id"), F.concat(F.lit("the same words"), (F.col("id") % 300).cast("string")).alias("text"))
+    rows.write.parquet(str(tmp_path / "docs"))
+    files = []
+    written = lambda df, name: files.append(len((out := common.table(df, name)).inputFiles())) or out
+    monkeypatch.setattr(radix_dedup, "table", written)
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = radix_dedup.exact_dedup(spark.read.parquet(str(tmp_path / "docs"))).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(got) == 600 and all(r.group_size == 2 and r.keep_id == r.doc_id % 300 + 300 for r in got)
+    assert max(files) <= common.FILES_A_CORE * spark.sparkContext.defaultParallelism
