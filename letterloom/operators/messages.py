@@ -65,10 +65,14 @@ def _parsed(df: DataFrame, raw: str, kind: str | T.StructType, run: Callable, op
     return rows.mapInArrow(batches_, schema)
 
 
-def parse_messages(df: DataFrame, raw: str = "raw", options: ParseOptions | None = None, mode: str = "PERMISSIVE", out: str = "message") -> DataFrame:
+def parse_messages(df: DataFrame, raw: str = "raw", options: ParseOptions | None = None, mode: str = "PERMISSIVE", out: str = "message", fields: Sequence[str] | None = None) -> DataFrame:
     """Adds the parsed message as a struct and ``_error``: why a message was refused (its struct is null then).
-    A null message counts as empty. FAILFAST ends the query at the first refused message."""
-    return _parsed(df, raw, f"struct<{schemas.MESSAGE}>", parse_message, options or ParseOptions(), mode, out)
+    A null message counts as empty. FAILFAST ends the query at the first refused message. With ``fields`` the
+    struct has only those, and no others are made; the whole message is read all the same."""
+    known = T._parse_datatype_string(f"struct<{schemas.MESSAGE}>")
+    names = list(fields) if fields is not None else known.names
+    kind = T.StructType([known[n] for n in names])
+    return _parsed(df, raw, kind, lambda data, o: parse_message(data, o, names), options or ParseOptions(), mode, out)
 
 
 def parse_headers(df: DataFrame, raw: str = "raw", options: ParseOptions | None = None, mode: str = "PERMISSIVE", out: str = "message", fields: Sequence[str] | None = None) -> DataFrame:
