@@ -14,16 +14,19 @@ from ..functions import schemas
 from ..functions.columns import flat_addresses
 from ..plans.message import ParseOptions, parse_header_block, parse_message, parse_parts
 
-BATCH_BYTES, SPREAD_BYTES = 32 << 20, 64 << 20
+#: Of raw messages parsed together; of a table that one task gets; of a table, for each core, from which on it isn't dealt out.
+BATCH_BYTES, TASK_BYTES, SPREAD_BYTES = 32 << 20, 2 << 20, 256 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deals the rows of a small table out to all cores: parsing is work of its own, and a small file may
-    be a single split. A table of more than SPREAD_BYTES a core has splits enough, and is not shuffled."""
+    """Deals the rows of a table out to all cores: parsing is work of its own, and a small file may be a single split,
+    or a few that hold many short rows. The number of tasks grows with the table, by TASK_BYTES of Spark's estimate of it.
+    A table of more than SPREAD_BYTES a core has splits enough, and is not shuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > cores * SPREAD_BYTES:
+    size = 0 if df.isStreaming else int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if df.isStreaming or size > cores * SPREAD_BYTES:
         return df
-    return df.repartition(cores)
+    return df.repartition(cores * max(1, -(-size // (cores * TASK_BYTES))))
 
 
 def _parsed(df: DataFrame, raw: str, kind: str | T.StructType, run: Callable, options: ParseOptions, mode: str, out: str) -> DataFrame:

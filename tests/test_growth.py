@@ -4,6 +4,7 @@ import pickle
 import time
 
 from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
 from letterloom.functions.addresses import parse_addresses
 from letterloom.functions.dates import iso_date, shown_date
@@ -65,3 +66,11 @@ def test_plain_mailboxes_and_dates_read_as_the_others():
 def test_memo_is_bounded_and_pickled():
     m = pickle.loads(cloudpickle.dumps(Memo(lambda x: x + 1, 3)))
     assert [m[i] for i in range(10)] == list(range(1, 11)) and len(m) <= 3
+
+
+def test_tasks_grow_with_the_table(spark, tmp_path, monkeypatch):
+    spark.range(400_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("s")).coalesce(1).write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    size = sum(f.stat().st_size for f in (tmp_path / "t").glob("*.parquet"))
+    assert M.spread(t).rdd.getNumPartitions() >= size // M.TASK_BYTES > 4
+    assert M.spread(spark.range(10)).rdd.getNumPartitions() == 4
