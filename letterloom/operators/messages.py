@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import schemas
-from ..functions.columns import flat_addresses
+from ..functions.columns import bound_batches, flat_addresses
 from ..plans.message import ParseOptions, parse_header_block, parse_message, parse_parts
 
 #: Of raw messages parsed together; of a table that one task gets; of a table, for each core, from which on it isn't dealt out.
@@ -22,6 +22,7 @@ def spread(df: DataFrame) -> DataFrame:
     """Deals the rows of a table out to all cores: parsing is work of its own, and a small file may be a single split,
     or a few that hold many short rows. The number of tasks grows with the table, by TASK_BYTES of Spark's estimate of it.
     A table of more than SPREAD_BYTES a core has splits enough, and is not shuffled."""
+    bound_batches(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = 0 if df.isStreaming else int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     if df.isStreaming or size > cores * SPREAD_BYTES:

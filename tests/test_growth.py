@@ -6,6 +6,7 @@ import time
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from letterloom.functions import columns as C
 from letterloom.functions.addresses import parse_addresses
 from letterloom.functions.dates import iso_date, shown_date
 from letterloom.functions.memo import Memo
@@ -74,3 +75,33 @@ def test_tasks_grow_with_the_table(spark, tmp_path, monkeypatch):
     size = sum(f.stat().st_size for f in (tmp_path / "t").glob("*.parquet"))
     assert M.spread(t).rdd.getNumPartitions() >= size // M.TASK_BYTES > 4
     assert M.spread(spark.range(10)).rdd.getNumPartitions() == 4
+
+
+def _largest_batch(df):
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    return df.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0]
+
+
+def test_arrow_batches_are_bounded_by_their_bytes(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    texts = spark.range(2000, numPartitions=1).select("id", F.repeat(F.lit("x"), F.lit(20_000)).alias("text"))
+    try:
+        spark.conf.set(key, "1g")
+        assert _largest_batch(texts) > 30 << 20
+        M.spread(texts)
+        assert _largest_batch(texts) < 2 * C.ARROW_BYTES
+        spark.conf.set(key, "1g")
+        C.html_to_text("text")
+        assert spark.conf.get(key) == str(C.ARROW_BYTES)
+        # a lower bound stays
+        spark.conf.set(key, "1m")
+        M.spread(texts)
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.set(key, before)
