@@ -15,7 +15,9 @@ from ..functions.columns import bound_batches, flat_addresses
 from ..plans.message import ParseOptions, parse_header_block, parse_message, parse_parts
 
 #: Of raw messages parsed together; of a table that one task gets; of a table, for each core, from which on it isn't dealt out.
-BATCH_BYTES, TASK_BYTES, SPREAD_BYTES = 32 << 20, 2 << 20, 256 << 20
+BATCH_BYTES, TASK_BYTES, SPREAD_BYTES = 1 << 20, 2 << 20, 256 << 20
+#: Messages parsed together.
+BATCH_ROWS = 1000
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -49,7 +51,7 @@ def _parsed(df: DataFrame, raw: str, kind: str | T.StructType, run: Callable, op
             while at < len(batch):
                 # results of large messages are handed on before more are parsed
                 values, errors, size, start = [], [], 0, at
-                while at < len(batch) and size < BATCH_BYTES:
+                while at < len(batch) and at - start < BATCH_ROWS and size < BATCH_BYTES:
                     data = batch.column("__raw")[at].as_py()
                     at += 1
                     size += len(data or b"")

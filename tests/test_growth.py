@@ -105,3 +105,17 @@ def test_arrow_batches_are_bounded_by_their_bytes(spark):
         assert spark.conf.get(key) == "1m"
     finally:
         spark.conf.set(key, before)
+
+
+def test_results_are_handed_on_in_small_batches(spark):
+    rows = spark.range(3000, numPartitions=1).select("id", F.encode(F.concat(F.lit("Subject: x\r\n\r\n"), F.repeat(F.lit("x"), F.lit(4000))), "UTF-8").alias("raw"))
+    p = M.parse_messages(rows.coalesce(1), fields=["text"])
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    assert p.count() == 3000
+    assert M.BATCH_BYTES <= 1 << 20 and p.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] < 16 << 20
